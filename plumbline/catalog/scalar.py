@@ -332,9 +332,10 @@ def _(t):
 
 
 @query("fn37_contact_label", """
-SELECT contact_seq, coalesce(nullif(name, ''), nullif(company, ''), 'Unknown contact') || ' - ' || coalesce(nullif(phone, ''), nullif(email, ''), 'research route') AS label FROM contacts""")
+SELECT contact_seq, concat_ws(' | ', coalesce(nullif(name, ''), nullif(title, ''), nullif(company, ''), 'Unknown'), company,
+  coalesce(nullif(phone, ''), nullif(email, ''), source), contact_type, CAST(CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%') AS label FROM contacts""")
 def _(t):
-    return t.contacts.select("contact_seq", X.contact_label("name", "company", "phone", "email").alias("label"))
+    return t.contacts.select("contact_seq", X.contact_label("name", "title", "company", "phone", "email", "source", "contact_type", "confidence").alias("label"))
 
 
 @query("fn38_titleize_alias", f"""

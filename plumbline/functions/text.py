@@ -186,7 +186,7 @@ def location_parts(c: ColumnOrName) -> Column:
     county = F.get(F.filter(parts, lambda p: p.rlike("(?i)county")), F.lit(0))
     return F.struct(
         F.coalesce(F.get(parts, F.lit(0)), F.lit("Unknown")).alias("city"),
-        F.coalesce(county, F.lit("Unknown")).alias("county"),
+        F.coalesce(county, F.get(parts, F.lit(1)), F.lit("Unknown")).alias("county"),
     )
 
 
@@ -337,10 +337,12 @@ def text_blob(*cols: ColumnOrName, sep: str = " ", lower: bool = True) -> Column
 
 
 # FN-37
-def contact_label(name: ColumnOrName, company: ColumnOrName, phone: ColumnOrName, email: ColumnOrName) -> Column:
-    who = F.coalesce(F.nullif(col(name), F.lit("")), F.nullif(col(company), F.lit("")), F.lit("Unknown contact"))
-    route = F.coalesce(F.nullif(col(phone), F.lit("")), F.nullif(col(email), F.lit("")), F.lit("research route"))
-    return F.concat(who, F.lit(" - "), route)
+def contact_label(name: ColumnOrName, title: ColumnOrName, company: ColumnOrName, phone: ColumnOrName, email: ColumnOrName,
+                  source: ColumnOrName, contact_type: ColumnOrName, confidence: ColumnOrName) -> Column:
+    """``name | company | route | type | 85%`` with the usual fallbacks."""
+    some = lambda *cs: F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cs], F.lit("Unknown"))
+    share = F.concat(F.floor(F.coalesce(col(confidence), F.lit(0.0)) * 100 + 0.5).cast("string"), F.lit("%"))
+    return F.concat_ws(" | ", some(name, title, company), col(company), some(phone, email, source), col(contact_type), share)
 
 
 # FN-38

@@ -16,6 +16,7 @@ def get_spark(app: str = "plumbline", cores: str | int = "*", shuffle: int = 8)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PLUMBLINE_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
