@@ -213,7 +213,7 @@ def _(t):
 
 
 @query("ag18_average_confidence", """
-SELECT opportunity_id, CAST(floor(avg(confidence) * 100 + 0.5) / 100 AS DOUBLE) AS confidence FROM (SELECT opportunity_id, CAST(floor(confidence * 100 + 0.5) AS BIGINT) / 100.0 AS confidence FROM contacts) GROUP BY 1""")
+SELECT opportunity_id, CAST(floor(sum(floor(confidence * 100 + 0.5)) / count(*) + 0.5) / 100 AS DOUBLE) AS confidence FROM contacts GROUP BY 1""")
 def _(t):
     # hundredths are summed as integers, so the mean does not depend on row order
     cents = F.floor(F.col("confidence") * 100 + 0.5)

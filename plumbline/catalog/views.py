@@ -246,7 +246,7 @@ def contacts(d: str) -> str:
     """One to four contact rows per opportunity (its order lines)."""
     return f"""
 SELECT l_orderkey AS opp_seq, 'sac-app-' || CAST(l_orderkey AS STRING) AS opportunity_id,
-  (l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey % 1000003 AS contact_seq, l_linenumber AS line,
+  ((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey % 1000003) * 1009 + l_suppkey % 1009 AS contact_seq, l_linenumber AS line,
   {pick('l_partkey', ['Jane Roe', 'John Q. Public', 'Estimating Department', 'Pat Doe', ''])} AS name,
   {pick('l_suppkey', ['Project Manager', 'Estimator', 'Purchasing Agent', 'Owner', 'Named site business', ''])} AS title,
   {company('l_suppkey')} AS company,
