@@ -193,14 +193,19 @@ def record_graph(records: DataFrame, key: str = "key") -> DataFrame:
     between the same records, the best at .62 or more; that is decided on distinct
     co-occurring entity pairs, never on pairs of records.
     """
+    ensure_checkpoint_dir(records.sparkSession)
     r = records.filter("norm <> ''").withColumn("eid", F.sha2(F.concat_ws("|", "type", "norm", F.col("confidence").cast("string")), 256))
-    entities = r.select("eid", "type", "norm", "confidence").distinct()
-    links = link_entities(entities)
+    # each of these feeds several branches below, so it is written once
+    r = r.select(key, "eid", "type", "norm", "confidence").checkpoint()
+    entities = r.select("eid", "type", "norm", "confidence").distinct().checkpoint()
+    links = link_entities(entities).checkpoint()
     rec = lambda c: F.concat(F.lit("r:"), F.col(c).cast("string"))
     ent = lambda c: F.concat(F.lit("e:"), F.col(c))
     member = r.select(rec(key).alias("src"), ent("eid").alias("dst"))
     strong = links.filter(F.col("weight") >= STRONG_LINK).select(ent("a").alias("src"), ent("b").alias("dst"))
     weak = links.filter(F.col("weight") < STRONG_LINK)
+    if weak.isEmpty():
+        return member.unionByName(strong).distinct()
     both = weak.select("a", "b", "weight").unionByName(weak.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     in_weak = r.join(both.select(F.col("a").alias("eid")).distinct(), "eid", "left_semi").select(key, "eid").distinct()
     co = in_weak.join(in_weak.select(key, F.col("eid").alias("eid2")), key).select("eid", "eid2").distinct()
@@ -227,7 +232,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     constant factor, hubs included.  Lineage is cut with a reliable checkpoint.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).filter("u <> v").distinct().checkpoint()
+    edges = edges.select(src, dst).checkpoint()
+    e = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).filter("u <> v").distinct()
     nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).distinct()
     previous = None
     for _ in range(max_rounds):
