@@ -49,8 +49,9 @@ def terms_from_table(queries: DataFrame, q: str, synonyms: dict[str, list[str]])
     return base.unionByName(more).distinct()
 
 
-def term_hits(columns: Sequence[ColumnOrName], terms: Sequence[str]) -> Column:
-    return R.hits(X.text_blob(*columns), terms)
+def with_term_hits(df: DataFrame, columns: Sequence[ColumnOrName], terms: Sequence[str], name: str = "_hits") -> DataFrame:
+    """Number of query terms in the row's text.  The blob is a column of its own, so it is built once per row."""
+    return df.withColumn("_blob", X.text_blob(*columns)).withColumn(name, R.hits("_blob", terms)).drop("_blob")
 
 
 # SR-01
@@ -68,8 +69,8 @@ def keyword_search(projects: DataFrame, text_cols: Sequence[str], q: str, k: int
             hit = frame.filter(R.contains_any(F.lower("text"), terms)).select(id_col)
             out = flag_semi(out, hit, id_col, f"_{name}")
             boosts.append((F.col(f"_{name}"), points))
-    score = term_hits(text_cols, terms) * 3 + R.points(boosts, 0)
-    out = out.withColumn("search_score", score).filter("search_score > 0")
+    out = with_term_hits(out, text_cols, terms)
+    out = out.withColumn("search_score", F.col("_hits") * 3 + R.points(boosts, 0)).filter("search_score > 0").drop("_hits")
     return out.orderBy(F.desc("search_score"), F.desc(recency), id_col).limit(k).drop("_company", "_signal", "_permit")
 
 
@@ -79,7 +80,7 @@ def global_search(parts: dict[str, tuple[DataFrame, Sequence[str], str, int]], q
     terms = query_terms(q, V.KEYWORD_SYNONYMS)
     out = None
     for entity, (df, cols, id_col, k) in parts.items():
-        hits = df.withColumn("score", term_hits(cols, terms)).filter("score > 0").orderBy(F.desc("score"), id_col).limit(k)
+        hits = with_term_hits(df, cols, terms, "score").filter("score > 0").orderBy(F.desc("score"), id_col).limit(k)
         rows = hits.select(F.lit(entity).alias("entity"), F.col(id_col).cast("string").alias("id"), "score")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -210,7 +211,8 @@ PLACES = r"\bsacramento|placer|roseville|rocklin|natomas|antelope|carmichael\b"
 def planning_leads(signals: DataFrame, q: str, trade: str | None, k: int, id_col: str) -> DataFrame:
     """signals(title, summary, city, county, stage, package_hint, trades ARRAY, contact_phone, contact_email) ranked by an additive score >= 20."""
     ql = q.strip().lower()
-    blob = X.text_blob("title", "summary", "city", "county", "stage", "package_hint", F.array_join("trades", " "))
+    signals = signals.withColumn("_blob", X.text_blob("title", "summary", "city", "county", "stage", "package_hint", F.array_join("trades", " ")))
+    blob = F.col("_blob")
     wants = bool(re.search(PLANNING_WANTED, ql)) or bool(trade)
     terms: list[tuple[Column, object]] = [(F.col("package_hint") == "development", 28), (F.col("package_hint") == "commercial", 18), (F.lit(wants), 10)]
     if re.search(PLACES, ql):
@@ -242,8 +244,9 @@ def access_search(df: DataFrame, text_cols: Sequence[str], q: str, k: int, id_co
     if "sacramento" in terms:
         pts.append((matches(F.concat_ws(" ", "project_location", "county"), "sacramento"), 20))
     tenth = lambda c, num, den: F.floor(F.col(c) * num / den + 0.5).cast("int")
-    score = term_hits(text_cols, terms) * 6 + R.points(pts, 0) + tenth("access_score", 2, 10) + tenth("qualification_score", 12, 100)
-    out = df.withColumn("search_score", score).filter("search_score > 0")
+    out = with_term_hits(df, text_cols, terms)
+    score = F.col("_hits") * 6 + R.points(pts, 0) + tenth("access_score", 2, 10) + tenth("qualification_score", 12, 100)
+    out = out.withColumn("search_score", score).filter("search_score > 0").drop("_hits")
     return out.orderBy(F.desc("search_score"), F.desc("access_score"), F.desc("qualification_score"), id_col).limit(k)
 
 
