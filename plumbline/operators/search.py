@@ -54,6 +54,15 @@ def with_term_hits(df: DataFrame, columns: Sequence[ColumnOrName], terms: Sequen
     return df.withColumn("_blob", X.text_blob(*columns)).withColumn(name, R.hits("_blob", terms)).drop("_blob")
 
 
+def top_scored(df: DataFrame, score: str, floor: float, order: Sequence[ColumnOrName], k: int) -> DataFrame:
+    """Top k by an order that starts with the score, then the floor.
+
+    The floor is applied to the k rows that are left: the result is the same, and
+    the score is not evaluated a second time in a filter pushed below it.
+    """
+    return df.orderBy(*[col(o) for o in order]).limit(k).filter(F.col(score) >= floor)
+
+
 # SR-01
 def keyword_search(projects: DataFrame, text_cols: Sequence[str], q: str, k: int, id_col: str, recency: str, companies: DataFrame | None = None,
                    signals: DataFrame | None = None, permits: DataFrame | None = None) -> DataFrame:
@@ -70,8 +79,8 @@ def keyword_search(projects: DataFrame, text_cols: Sequence[str], q: str, k: int
             out = flag_semi(out, hit, id_col, f"_{name}")
             boosts.append((F.col(f"_{name}"), points))
     out = with_term_hits(out, text_cols, terms)
-    out = out.withColumn("search_score", F.col("_hits") * 3 + R.points(boosts, 0)).filter("search_score > 0").drop("_hits")
-    return out.orderBy(F.desc("search_score"), F.desc(recency), id_col).limit(k).drop("_company", "_signal", "_permit")
+    out = out.withColumn("search_score", F.col("_hits") * 3 + R.points(boosts, 0)).drop("_hits")
+    return top_scored(out, "search_score", 1, [F.desc("search_score"), F.desc(recency), id_col], k).drop("_company", "_signal", "_permit")
 
 
 # SR-02
@@ -80,7 +89,7 @@ def global_search(parts: dict[str, tuple[DataFrame, Sequence[str], str, int]], q
     terms = query_terms(q, V.KEYWORD_SYNONYMS)
     out = None
     for entity, (df, cols, id_col, k) in parts.items():
-        hits = with_term_hits(df, cols, terms, "score").filter("score > 0").orderBy(F.desc("score"), id_col).limit(k)
+        hits = top_scored(with_term_hits(df, cols, terms, "score"), "score", 1, [F.desc("score"), id_col], k)
         rows = hits.select(F.lit(entity).alias("entity"), F.col(id_col).cast("string").alias("id"), "score")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -225,13 +234,13 @@ def planning_leads(signals: DataFrame, q: str, trade: str | None, k: int, id_col
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     terms += [(has("contact_phone"), 8), (~has("contact_phone") & has("contact_email"), 4)]
     rank = case([(F.col("package_hint") == "development", 3), (F.col("package_hint") == "commercial", 2)], 1)
-    out = signals.withColumn("relevance_score", R.points(terms, 0)).filter("relevance_score >= 20")
+    out = signals.withColumn("relevance_score", R.points(terms, 0))
     why = F.slice(R.labels_where([
         (F.col("package_hint") == "development", "development-scale planning package"), (F.col("package_hint") == "commercial", "commercial-scale entitlement"),
         (has("contact_phone"), "planner phone on file"),
     ]), 1, 2)
     out = out.withColumn("why", F.coalesce(F.nullif(F.array_join(why, "; "), F.lit("")), F.lit("early public-record planning signal")))
-    return out.orderBy(F.desc("relevance_score"), F.desc(rank), id_col).limit(k)
+    return top_scored(out, "relevance_score", 20, [F.desc("relevance_score"), F.desc(rank), id_col], k).drop("_blob")
 
 
 # SR-08
@@ -246,8 +255,8 @@ def access_search(df: DataFrame, text_cols: Sequence[str], q: str, k: int, id_co
     tenth = lambda c, num, den: F.floor(F.col(c) * num / den + 0.5).cast("int")
     out = with_term_hits(df, text_cols, terms)
     score = F.col("_hits") * 6 + R.points(pts, 0) + tenth("access_score", 2, 10) + tenth("qualification_score", 12, 100)
-    out = out.withColumn("search_score", score).filter("search_score > 0").drop("_hits")
-    return out.orderBy(F.desc("search_score"), F.desc("access_score"), F.desc("qualification_score"), id_col).limit(k)
+    out = out.withColumn("search_score", score).drop("_hits")
+    return top_scored(out, "search_score", 1, [F.desc("search_score"), F.desc("access_score"), F.desc("qualification_score"), id_col], k)
 
 
 # SR-10
@@ -263,7 +272,7 @@ def similar_items(df: DataFrame, seed: dict[str, str], k: int, id_col: str) -> D
     same_city = F.lower("city") == city
     score = F.lit(50) + R.points(
         [(same_city, 30), (~same_city & (F.lower("county") == county), 12), (F.lit(bool(stage)) & (st == stage), 15), ((st != stage) & R.contains_any(st, loose), 8)], 0) + F.least(F.lit(25), shared * 5)
-    return out.withColumn("similarity", score).filter("similarity >= 50").orderBy(F.desc("similarity"), id_col).limit(k)
+    return top_scored(out.withColumn("similarity", score), "similarity", 50, [F.desc("similarity"), id_col], k)
 
 
 def planning_rows(planning: DataFrame) -> DataFrame:
