@@ -18,6 +18,17 @@ def contains_ci(columns: Sequence[ColumnOrName], q: str) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.lower(col(c).cast("string")).contains(needle), F.lit(False)) for c in columns])
 
 
+def filter_once(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on costly derived columns without evaluating them a second time.
+
+    A filter is normally pushed below the projection that computes its columns,
+    which repeats the expressions there.  Spark does not push past a
+    nondeterministic column, so the partition id keeps the filter where it is.
+    Use it only above derived columns: plain column filters should reach the scan.
+    """
+    return df.withColumn("_part", F.spark_partition_id()).filter(condition & (F.col("_part") >= 0)).drop("_part")
+
+
 # FL-01 .. FL-05
 def filter_rows(df: DataFrame, equals: dict[str, object] | None = None, q: str | None = None, q_columns: Sequence[str] = ()) -> DataFrame:
     """Equality filters (pushed to the scan) plus an optional text filter; empty values are ignored."""

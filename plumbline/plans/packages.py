@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from plumbline.functions import rules as R
 from plumbline.functions import text as X
 from plumbline.functions.rules import ColumnOrName, case, col, contains_any, matches
 from plumbline.operators.keyed import collapse_packages
+from plumbline.operators.relational import filter_once
 from plumbline.operators.search import query_terms, query_trades, with_term_hits
 from plumbline.plans import vocab as V
 
@@ -112,15 +115,16 @@ FACET_COLUMNS = {"size": "package_size", "contact": "contact_status", "type": "j
 
 
 def facet_filter(df: DataFrame, filters: dict[str, list[str]]) -> DataFrame:
+    tests = []
     for name, values in filters.items():
         c = F.col(FACET_COLUMNS[name])
         if name in ("size", "contact", "type"):
-            df = df.filter(c.isin(values))
+            tests.append(c.isin(values))
         elif name == "trade":
-            df = df.filter(F.lower(c).isin([v.lower() for v in values]))
+            tests.append(F.lower(c).isin([v.lower() for v in values]))
         else:
-            df = df.filter(contains_any(F.lower(c), [v.lower() for v in values]))
-    return df
+            tests.append(contains_any(F.lower(c), [v.lower() for v in values]))
+    return filter_once(df, reduce(lambda a, b: a & b, tests)) if tests else df
 
 
 # FL-13
@@ -350,7 +354,7 @@ def contractor_search(df: DataFrame, q: str, text_cols: list[str], id_col: str,
     """
     terms, trades = query_terms(q), query_trades(q)
     fencing = trades == ["Fencing"]
-    out = df.filter(~suppress_fencing(trades, F.col("bidable"), "fence_confidence", "positives"))
+    out = filter_once(df, ~suppress_fencing(trades, F.col("bidable"), "fence_confidence", "positives"))
     if fencing:
         out = out.withColumn("trade_relevance", fencing_relevance("fence_confidence", "positives", "trade_relevance")).withColumn(
             "contractor_score", fencing_score("fence_confidence", "fence_signal", "positives", "trade_score", "subcontractor_score"))
@@ -366,12 +370,12 @@ def contractor_search(df: DataFrame, q: str, text_cols: list[str], id_col: str,
             (F.col("pursuit_confidence") == "High Confidence", 10), (F.col("pursuit_confidence") == "Research Required", -18),
         ], 0)
     out = out.withColumn("search_score", R.clamp(base + F.col("_hits") * 3 + adjust)).drop("_hits")
-    out = out.filter((F.col("search_score") >= (25 if fencing else 35)) & (F.size("suppress_reasons") == 0))
+    keep = (F.col("search_score") >= (25 if fencing else 35)) & (F.size("suppress_reasons") == 0)
     if fencing:
-        direct = direct_pursuit("fence_confidence", "positives")
-        out = out.filter((direct | F.col("housing")) & (F.col("bidable") | F.col("housing")))
+        keep = keep & (direct_pursuit("fence_confidence", "positives") | F.col("housing")) & (F.col("bidable") | F.col("housing"))
     else:
-        out = out.filter(F.col("pursuit") >= 18)
+        keep = keep & (F.col("pursuit") >= 18)
+    out = filter_once(out, keep)
     out = facet_filter(out, filters or {})
     size_rank = case([(F.col("package_size") == "development", 3), (F.col("package_size") == "commercial", 2)], 1)
     conf_rank = case([(F.col("pursuit_confidence") == "High Confidence", 3), (F.col("pursuit_confidence") == "Medium Confidence", 2)], 1)
