@@ -83,10 +83,9 @@ def import_batch(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # FL-20
-def document_errors(docs: DataFrame, key: str = "id") -> DataFrame:
-    """Rows with a missing id, title or URL, or an id that occurs more than once."""
+def with_document_errors(docs: DataFrame, key: str = "id") -> DataFrame:
+    """Adds ``errors``: a missing id, title or URL, or an id that occurs more than once."""
     counts = docs.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
-    rows = docs.join(counts, key, "left")
     errors = R.labels_where(
         [
             (C.safe_text(key).isNull(), "missing id"),
@@ -95,12 +94,15 @@ def document_errors(docs: DataFrame, key: str = "id") -> DataFrame:
             (C.safe_url("source_url").isNull(), "missing source_url"),
         ]
     )
-    return rows.withColumn("errors", errors).filter(F.size("errors") > 0).drop("_copies")
+    return docs.join(counts, key, "left").withColumn("errors", errors).drop("_copies")
+
+
+def document_errors(docs: DataFrame, key: str = "id") -> DataFrame:
+    return with_document_errors(docs, key).filter(F.size("errors") > 0)
 
 
 def require_valid(docs: DataFrame, key: str = "id") -> DataFrame:
-    """Raise at run time on the first bad row, else pass the rows through."""
-    bad = document_errors(docs, key).select(F.col(key).alias("_bad"), "errors").limit(1)
-    message = F.concat(F.lit("bad evidence document: "), F.coalesce("_bad", F.lit("?")), F.lit(" "), F.array_join("errors", ", "))
-    stop = bad.select(F.raise_error(message).cast("string").alias("_stop"))
-    return docs.join(F.broadcast(stop), F.lit(True), "left_anti")
+    """Pass valid rows through; the first bad row fails the job with its errors."""
+    message = F.concat(F.lit("bad evidence document: "), F.coalesce(F.col(key), F.lit("?")), F.lit(" "), F.array_join("errors", ", "))
+    ok = F.when(F.size("errors") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return with_document_errors(docs, key).filter(ok).drop("errors")
