@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.llm.decontaminate import contamination
 from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.registry import query, table
@@ -60,3 +61,36 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN low l ON l.d
 @query("op9_minhash_near_dedup", OP9_SQL)
 def op9(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2).drop("class_id")
+
+
+OP3_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), widths AS (
+  SELECT item_id, w, least(10, len(w)) AS k FROM item_words WHERE len(w) > 0
+), item_windows AS (
+  SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS s FROM widths
+), doc_windows AS (
+  SELECT doc_id, k, unnest(range(0, len(w) - k + 1)) AS pos, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS s
+  FROM doc_words, (SELECT DISTINCT k FROM widths) WHERE len(w) >= k
+), hits AS (
+  SELECT d.doc_id, d.pos, d.k, i.item_id FROM doc_windows d JOIN item_windows i ON i.k = d.k AND i.s = d.s
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + k)) AS p FROM hits) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(d.w), 0) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
+       sha256(coalesce(f.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
+
+@query("op3_benchmark_decontamination", OP3_SQL)
+def op3(spark, sf_dir):
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    named = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
