@@ -161,7 +161,7 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, names: list[str], coverage:
     return scratch.save(best.join(typical, "group").select("group", "mean", F.transform("w", lambda x: x / F.sqrt(scale)).alias("w")), "estimates")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_rows: int = 100, coverage: float = 0.75, cutoff: float = 60.0) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_rows: int = 100, coverage: float = 0.75, cutoff: float = 35.0) -> DataFrame:
     """Verdict of the quality rules for every document.
 
     Returns ``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance (squared
@@ -169,7 +169,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and fail.  A null language or source is a group like others.  Groups of fewer than ``min_rows`` rows that pass the
     base rules share the estimate of their language's small groups, and if these are too few, of all such; where even
     those are fewer, rows that pass the base rules are kept.  Rows that repeat an id are judged each.  Other columns are
-    not read.  The default ``cutoff`` lies far in the tail of normal rows (chi-square, 5 degrees: below 1e-10), so that
+    not read.  The default ``cutoff`` lies far in the tail of normal rows (chi-square, 5 degrees: 2e-6), so that
     only texts of another kind go.
     """
     scratch = Scratch(docs.sparkSession, "quality")
