@@ -12,6 +12,8 @@ threshold, else a sorted join that adaptive execution splits).  Documents are sh
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,10 +83,10 @@ def _prints(docs: DataFrame, k: int, window: int, short: list[int]) -> DataFrame
 
 
 def _extended(joined: DataFrame) -> DataFrame:
-    """(id, n_words, spans, items) of each document from the windows of its candidate items."""
+    """(id, carried, n_words, spans, items) of each document from the windows of its candidate items."""
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     item = joined.schema["found"].dataType.elementType["item"].dataType
-    schema = T.StructType([joined.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(item))])
+    schema = T.StructType([joined.schema["id"], joined.schema["carried"], T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(item))])
     arrow_span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def check(hashes: np.ndarray, found: list) -> tuple[list, list]:
@@ -114,22 +116,22 @@ def _extended(joined: DataFrame) -> DataFrame:
                     s, m = check(words.hash[words.bounds[i] : words.bounds[i + 1]], found) if found else ([], [])
                     spans.append(s)
                     items.append(m)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), pa.array(np.diff(words.bounds)), pa.array(spans, pa.list_(arrow_span)), pa.array(items, pa.list_(batch.schema.field("found").type.value_type.field("item").type))], ["id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), batch.column("carried").slice(first, last - first), pa.array(np.diff(words.bounds)), pa.array(spans, pa.list_(arrow_span)), pa.array(items, pa.list_(batch.schema.field("found").type.value_type.field("item").type))], ["id", "carried", "n_words", "spans", "items"])
 
-    return joined.select("id", "text", "found").mapInArrow(run, schema)
+    return joined.select("id", "text", "carried", "found").mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5, carry: Sequence[str] = ()) -> DataFrame:
     """Benchmark passages in documents.
 
     Returns ``id_col``, n_words, spans (array of (start, end) in words, merged, end exclusive), items (distinct ids of the
     items that occur), a row for each input row.  Words are runs of a-z, 0-9 and characters beyond ASCII, A-Z
     lower-cased.  Null and empty texts have no words; items without words match nothing, and rows of one item id count as
     one item.  Every row is checked on its own text, also rows that repeat an id or have none.  An empty benchmark leaves
-    all documents clean.  Other columns are not read.
+    all documents clean.  The columns named in ``carry`` come back unchanged, others are not read.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     items = scratch.save(_items(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), k, window).filter("item IS NOT NULL"), "items")
     prints = scratch.save(items.select("item", F.explode("prints").alias("print")).distinct(), "prints")
     short = sorted(r["width"] for r in items.filter(F.col("width") < window).select("width").distinct().collect())  # below ``window`` values
@@ -137,4 +139,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = hits.join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "width", "windows")).alias("found"))
     found = scratch.save(found.withColumnRenamed("id", "found_id"), "found")
     out = _extended(base.join(found, F.col("id").eqNullSafe(F.col("found_id")), "left"))
-    return out.withColumnRenamed("id", id_col)
+    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items", *[F.col("carried")[c].alias(c) for c in carry])

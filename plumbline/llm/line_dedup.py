@@ -11,6 +11,8 @@ Scale: the shuffled rows are window hashes, not texts.  The earliest occurrence
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +42,23 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return ranked.filter("r > 1").select("id", "pos").union(heads.filter("r > 1").select("id", "pos"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, salts: int = 64) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, salts: int = 64, carry: Sequence[str] = ()) -> DataFrame:
     """Remove the lines of every later occurrence of a repeated window.
 
     Returns one row per input row: ``id_col``, ``text_col`` (remaining lines), ``n_lines``, ``n_removed`` (long).
     Null text: null, 0 and 0.  Empty text: one empty line.  A text of fewer lines than the window is left as it is, and
-    so is a row without id.  Rows that repeat a document get the same result each.  Other columns are not read.
+    so is a row without id.  Rows that repeat a document get the same result each.  The columns named in ``carry`` come
+    back unchanged, others are not read.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     later = repeated_windows(base, "id", "text", window, salts).groupBy("id").agg(F.collect_set("pos").alias("starts"))
-    joined = base.join(later, "id", "left").select("id", "text", "starts", _once(F.split("text", "\n")).alias("lines"))
+    joined = base.join(later, "id", "left").select("id", "text", "carried", "starts", _once(F.split("text", "\n")).alias("lines"))
     covered = F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (window - 1))))
-    left = joined.select("id", "text", "lines", _once(F.when(F.col("starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered))).alias("left"))
+    left = joined.select("id", "text", "carried", "lines", _once(F.when(F.col("starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered))).alias("left"))
     return left.select(
         F.col("id").alias(id_col),
         F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")).alias(text_col),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(F.col("left").isNull(), 0).otherwise(F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
+        *[F.col("carried")[c].alias(c) for c in carry],
     )
