@@ -15,6 +15,7 @@ from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack
 from plumbline.llm.quality_rules import quality_rules
+from plumbline.llm.registry import ship
 from plumbline.llm.scratch import Scratch
 
 
@@ -63,6 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table; the last one's rows are computed when they are read."""
+    ship(spark)
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (name, stage) in enumerate(STAGES[:-1]):

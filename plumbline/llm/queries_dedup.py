@@ -8,6 +8,7 @@ from plumbline.llm.decontaminate import contamination
 from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.registry import query, table
+from plumbline.llm.repeats import remove_repeats
 
 OP1_SQL = """
 WITH lines AS (
@@ -94,3 +95,35 @@ def op3(spark, sf_dir):
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     named = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+OP6_SQL = """
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS pos, unnest(list_transform(range(0, len(h) // 2 - 49), lambda i: md5_number(substr(h, 2 * i + 1, 100)))) AS s
+  FROM bytes WHERE len(h) >= 100
+), later AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY s) AS first_id FROM windows) WHERE first_id < doc_id
+), runs AS (
+  SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b FROM (
+    SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (
+      SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS fresh FROM later))
+  GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next_a FROM runs
+), kept AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(g.b - g.a) AS n_removed,
+         substr(any_value(d.h), 1, 2 * min(g.a)) || string_agg(substr(d.h, 2 * g.b + 1, 2 * (coalesce(g.next_a, len(d.h) // 2) - g.b)), '' ORDER BY g.a) AS rest
+  FROM gaps g JOIN bytes d USING (doc_id) GROUP BY g.doc_id
+)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.rest, d.h))) AS kept_sha256
+FROM bytes d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query("op6_suffix_array_dedup", OP6_SQL)
+def op6(spark, sf_dir):
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
