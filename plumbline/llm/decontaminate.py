@@ -138,5 +138,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = scratch.save(_prints(base, k, window, short).join(prints, "print").select("id", "item").distinct(), "hits")
     found = hits.join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "width", "windows")).alias("found"))
     found = scratch.save(found.withColumnRenamed("id", "found_id"), "found")
-    out = _extended(base.join(found, F.col("id").eqNullSafe(F.col("found_id")), "left"))
+    # a merge join at every size: texts are shuffled once, however many documents are hit
+    out = _extended(base.hint("merge").join(found, F.col("id").eqNullSafe(F.col("found_id")), "left"))
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items", *[F.col("carried")[c].alias(c) for c in carry])
