@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.registry import query, table
+from plumbline.llm.toxicity import toxicity
 
 
 @query("op4_quality_rules")
 def op4(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
