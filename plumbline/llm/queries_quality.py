@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.llm.quality_gam import quality_scores
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.registry import query, table
 from plumbline.llm.toxicity import toxicity
@@ -18,3 +19,9 @@ def op4(spark, sf_dir):
 def op10(spark, sf_dir):
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op5_quality_classifier")
+def op5(spark, sf_dir):
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
