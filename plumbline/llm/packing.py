@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: words remembered by each Python worker in either of two generations
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: characters that form tokens of their own after the letters of a word
 TAILS = ".,;:!?*#$%&"
 
@@ -79,7 +79,9 @@ class WordTokens:
             self.new[raw] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
+        raw = [(t or "").encode() for t in texts]
+        # the vocabulary is lower case; only texts that may hold a special token keep theirs
+        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
         words = set().union(*split)
         missing = words - self.new.keys()
         for word in missing & self.old.keys():  # what is still in use moves on
