@@ -6,8 +6,8 @@ probability 1 - (1 - J^rows)^bands: at J = 0.8 and 32 x 4 a link is missed with
 
 Groups are never expanded into all pairs.  Equal shingle sets form one class.  In a bucket, the class that meets the
 most bucket mates is compared with the others (a star); what it links is one component and needs no further pairs.
-Only classes that share a bucket and are still in different components are then compared with each other, so no link
-between components is lost.  Comparisons are exact, on the full sets.
+Only classes that share a bucket and are still in different components are then compared with each other, in blocks that
+emit links, not pairs, so no link between components is lost.  Comparisons are exact, on the full sets.
 """
 
 from __future__ import annotations
@@ -111,7 +111,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def _cross_links(rows: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+    """(a, b): for each document of ``rows`` (key, id, n, m, label, text), a link to every other label that it links to in its bucket.
+
+    A bucket of more than ``block`` members is split into blocks by id, and each pair of blocks is a group of its own.
+    A group compares the members outside its largest label with all others, one against all at a time, on full sets.
+    """
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "id", "label", "text")
+    id_type = rows.schema["id"].dataType
+
+    def compare(table: pa.Table) -> pa.Table:
+        data_type = table.schema.field("id").type
+        _, label = np.unique(np.array(table.column("label").to_pylist()), return_inverse=True)
+        found: tuple[list, list] = ([], [])
+        if label.max(initial=0) > 0:
+            names = table.column("id")
+            parts = [shingle_sets(d, o, shingle) for _, _, d, o in text_slices(table.column("text"))]
+            sets = np.concatenate([p[0] for p in parts])
+            sizes = np.concatenate([np.diff(p[1]) for p in parts])
+            vocabulary, token = np.unique(sets, return_inverse=True)
+            start = np.concatenate([[0], np.cumsum(sizes)])
+            flag = np.zeros(len(vocabulary), bool)
+            for i in np.flatnonzero(label != np.bincount(label).argmax()):
+                mine = token[start[i] : start[i + 1]]
+                flag[mine] = True
+                common = np.add.reduceat(flag[token], start[:-1])
+                flag[mine] = False
+                links = np.flatnonzero((100 * common >= percent * (sizes + sizes[i] - common)) & (label != label[i]))
+                _, one = np.unique(label[links], return_index=True)  # of each label
+                found[0].extend([i] * len(one))
+                found[1].extend(links[one].tolist())
+            take = [names.take(pa.array(x, pa.int64())) for x in found]
+            return pa.table(take, ["a", "b"])
+        return pa.table([pa.array([], data_type), pa.array([], data_type)], ["a", "b"])
+
+    return dealt.groupBy("key", "b1", "b2").applyInArrow(compare, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = 512) -> DataFrame:
     """Components of documents whose distinct word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
     Returns ``id_col``, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable), kept
@@ -146,18 +186,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.save(_verified(star, texts, shingle, percent), "star-links")
     labels = components(links, scratch, "star-cc")
 
-    # the rest: bucket mates of different components, each pair once
-    labelled = scratch.save(shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label")), "labelled")
+    # the rest: bucket mates of different components, in blocks
+    labelled = scratch.save(shared.join(labels, "id", "left").select("key", "id", "n", "m", F.coalesce("label", "id").alias("label")), "labelled")
     mixed = scratch.save(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "mixed")
     rest = scratch.save(labelled.join(mixed, "key", "left_semi"), "rest")
-    scratch.drop("labelled", "mixed", "hubs", "mates", "shared")
-    left = rest.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    cross = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits("na", "nb")).select("a", "b").distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.save(_verified(scratch.save(cross.join(tested, ["a", "b"], "left_anti"), "cross"), texts, shingle, percent), "cross-links")
+    scratch.drop("labelled", "mixed", "hubs", "mates", "shared", "star")
+    more = scratch.save(_cross_links(rest.join(texts, "id"), shingle, percent, block), "cross-links")
     labels = components(links.union(more), scratch, "cc")
-    scratch.drop("texts", "rest", "star", "cross")
+    scratch.drop("texts", "rest")
 
     done = member.join(labels.select(F.col("id").alias("class"), "label"), "class", "left")
     component = F.coalesce("label", "class")
