@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.llm.licenses import license_scan
 from plumbline.llm.quality_gam import quality_scores
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.registry import query, table
@@ -39,3 +40,8 @@ def op7(spark, sf_dir):
 
     counts = [count(k) for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
