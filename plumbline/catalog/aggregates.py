@@ -16,11 +16,10 @@ from plumbline.catalog.relational import RELATION, V1
 
 
 @query("ag01_group_list", """
-SELECT conv_id, count(*) AS turns_count, string_agg(role || ':' || CAST(length(text) AS VARCHAR), '|' ORDER BY turn) FILTER (rn <= 100) AS turns
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY 1""")
+SELECT conv_id, count(*) AS turns_count, string_agg(role || ':' || CAST(length(text) AS VARCHAR), '|' ORDER BY turn) AS turns FROM conversations GROUP BY 1""")
 def _(t):
     c = t.conversations.withColumn("item", F.concat_ws(":", "role", F.length("text").cast("string")))
-    out = attach_children(c.select("conv_id").distinct(), c, ["conv_id"], ["turn"], ["item"], 100, "turns")
+    out = attach_children(c.select("conv_id").distinct(), c, ["conv_id"], ["turn"], ["item"], "turns")
     return out.select("conv_id", "turns_count", F.array_join(F.col("turns.item"), "|").alias("turns"))
 
 
@@ -35,10 +34,10 @@ def _(t):
 
 
 @query("ag03_frequency_lists", """
-SELECT user_id, string_agg(event_type || '=' || CAST(n AS VARCHAR), '|' ORDER BY n DESC, event_type) AS kinds FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rn FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE rn <= 3 GROUP BY 1""")
+SELECT user_id, string_agg(event_type || '=' || CAST(n AS VARCHAR), '|' ORDER BY n DESC, event_type) AS kinds
+FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
 def _(t):
-    lists = A.frequency_lists(t.events, ["user_id"], "event_type", "kinds", 3)
+    lists = A.frequency_lists(t.events, ["user_id"], "event_type", "kinds")
     return lists.select("user_id", F.array_join(F.transform("kinds", lambda s: F.concat_ws("=", s["name"], s["count"].cast("string"))), "|").alias("kinds"))
 
 
@@ -367,14 +366,13 @@ def _(t):
 
 @query("sk06_node_neighborhood", """
 WITH e AS (SELECT DISTINCT 's:' || CAST(l_suppkey AS VARCHAR) AS src, 'f:' || l_returnflag AS dst FROM lineitem),
-b AS (SELECT src AS id, dst AS other, 'out' AS dir FROM e UNION ALL SELECT dst, src, 'in' FROM e),
-r AS (SELECT *, row_number() OVER (PARTITION BY id, dir ORDER BY other) AS rn FROM b)
-SELECT id, dir, count(*) AS degree, string_agg(other, '|' ORDER BY other) FILTER (rn <= 50) AS neighbors FROM r GROUP BY 1, 2""")
+b AS (SELECT src AS id, dst AS other, 'out' AS dir FROM e UNION ALL SELECT dst, src, 'in' FROM e)
+SELECT id, dir, count(*) AS degree, string_agg(other, '|' ORDER BY other) AS neighbors FROM b GROUP BY 1, 2""")
 def _(t):
     from plumbline.operators.graph import neighborhood
 
     e = t.lineitem.select(F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("f:"), "l_returnflag").alias("dst")).distinct()
-    n = neighborhood(e, limit=50)
+    n = neighborhood(e)
     return n.select("id", "dir", "degree", F.array_join("neighbors", "|").alias("neighbors"))
 
 

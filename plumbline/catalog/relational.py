@@ -74,11 +74,11 @@ def _(t):
 
 @query("jn02_attach_contacts", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY opportunity_id ORDER BY confidence DESC, contact_seq) AS rn, count(*) OVER (PARTITION BY opportunity_id) AS n FROM contacts),
-g AS (SELECT opportunity_id, max(n) AS n, string_agg(company, '|' ORDER BY rn) FILTER (rn <= 5) AS companies FROM r GROUP BY 1)
+g AS (SELECT opportunity_id, max(n) AS n, string_agg(company, '|' ORDER BY rn) AS companies FROM r GROUP BY 1)
 SELECT o.seq, coalesce(g.n, 0) AS contacts_count, coalesce(companies, '') AS companies FROM opps o LEFT JOIN g ON g.opportunity_id = o.id""")
 def _(t):
     out = R.attach_children(
-        t.opps.select("seq", F.col("id").alias("opportunity_id")), t.contacts, ["opportunity_id"], [F.desc("confidence"), "contact_seq"], ["company"], 5, "contacts"
+        t.opps.select("seq", F.col("id").alias("opportunity_id")), t.contacts, ["opportunity_id"], [F.desc("confidence"), "contact_seq"], ["company"], "contacts"
     )
     return out.select("seq", "contacts_count", F.coalesce(F.array_join(F.col("contacts.company"), "|"), F.lit("")).alias("companies"))
 
@@ -105,11 +105,11 @@ def _(t):
 
 @query("jn05_project_children", """
 WITH l AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem)
-SELECT o_orderkey, count(l_partkey) AS permits_count, coalesce(string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY rn) FILTER (rn <= 10), '') AS permits FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1""")
+SELECT o_orderkey, count(l_partkey) AS permits_count, coalesce(string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY rn), '') AS permits FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1""")
 def _(t):
     child = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
     out = R.attach_children(
-        t.orders.select("o_orderkey"), child, ["o_orderkey"], [F.desc("l_shipdate"), "l_linenumber", "l_partkey", "l_suppkey"], ["l_partkey"], 10, "permits"
+        t.orders.select("o_orderkey"), child, ["o_orderkey"], [F.desc("l_shipdate"), "l_linenumber", "l_partkey", "l_suppkey"], ["l_partkey"], "permits"
     )
     return out.select("o_orderkey", "permits_count", F.coalesce(F.array_join(F.transform("permits", lambda s: s["l_partkey"].cast("string")), "|"), F.lit("")).alias("permits"))
 

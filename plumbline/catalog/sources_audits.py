@@ -124,12 +124,13 @@ def _(t):
 
 
 @query("nr08_project_detail", f"""
-SELECT 'sac-app-' || CAST(p.seq AS VARCHAR) AS project_id, (SELECT count(*) FROM contacts c WHERE c.opp_seq = p.seq AND NOT {placeholder('c.company')}) AS companies_count, (SELECT count(*) FROM signals s WHERE s.project_seq = p.seq) AS signals_count FROM permits_a p""")
+SELECT 'sac-app-' || CAST(p.seq AS VARCHAR) AS project_id, (SELECT count(*) FROM contacts c WHERE c.opp_seq = p.seq AND NOT {placeholder('c.company')}) AS companies_count, (SELECT count(*) FROM signals s WHERE s.project_seq = p.seq) AS signals_count,
+  coalesce((SELECT string_agg(c.company, '|' ORDER BY c.company, c.role) FROM contacts c WHERE c.opp_seq = p.seq AND NOT {placeholder('c.company')}), '') AS companies FROM permits_a p""")
 def _(t):
     v = N.explode_records(N.normalize_permit_a(t.permits_a, "2001-08-01"))
     sig = t.signals.withColumn("project_id", F.concat(F.lit("sac-app-"), F.col("project_seq").cast("string")))
     com = t.contacts.select(F.col("opportunity_id").alias("project_id"), F.col("company").alias("name"), "role")
-    return N.project_detail(v["projects"].select("id", "name"), v["permits"], sig, com).select("project_id", "companies_count", "signals_count")
+    return N.project_detail(v["projects"].select("id", "name"), v["permits"], sig, com).select("project_id", "companies_count", "signals_count", F.coalesce(F.array_join(F.col("companies.name"), "|"), F.lit("")).alias("companies"))
 
 
 @query("nr09_source_documents", "SELECT 'sac-app-' || CAST(seq AS VARCHAR) AS id, 'permit_record' AS source_type FROM permits_a UNION ALL SELECT 'opportunity-source-' || id, 'opportunity_record' FROM opps")
@@ -149,7 +150,7 @@ def _(t):
     return n.filter("contact_company IS NOT NULL").select("seq", F.col("contact_company.id").alias("id"))
 
 
-@query("nr13_evidence_refs", "SELECT opportunity_id, string_agg(source || ': ' || company, '|' ORDER BY contact_seq) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY opportunity_id ORDER BY contact_seq) AS rn FROM contacts) WHERE rn <= 6 GROUP BY 1")
+@query("nr13_evidence_refs", "SELECT opportunity_id, string_agg(source || ': ' || company, '|' ORDER BY contact_seq) AS refs FROM contacts GROUP BY 1")
 def _(t):
     c = t.contacts.select("opportunity_id", F.col("contact_seq").alias("seq"), F.col("source").alias("source_name"), F.col("company").alias("title"))
     return N.evidence_ref(c, "opportunity_id").select("opportunity_id", F.array_join("refs", "|").alias("refs"))

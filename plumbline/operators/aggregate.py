@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.rules import ColumnOrName, case, col
-from plumbline.operators.keyed import top_n_per_group
+from plumbline.operators.relational import PAGE, child_pages
 
 
 # AG-02
@@ -28,12 +28,10 @@ def value_counts(df: DataFrame, group: Sequence[str], value: ColumnOrName, name:
     return v.groupBy(*group, name).agg(F.count(F.lit(1)).alias("count"))
 
 
-def frequency_lists(df: DataFrame, group: Sequence[str], value: ColumnOrName, as_name: str, n: int = 5) -> DataFrame:
-    """Top ``n`` {name, count} per group as an ordered array."""
+def frequency_lists(df: DataFrame, group: Sequence[str], value: ColumnOrName, as_name: str, page: int = PAGE) -> DataFrame:
+    """All {name, count} of each group as ordered arrays of at most ``page``, one row per group and page."""
     counts = value_counts(df, group, value)
-    top = top_n_per_group(counts, group, [F.desc("count"), "name"], n, rank="_pos")
-    lists = top.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_pos", "name", "count"))).alias(as_name))
-    return lists.withColumn(as_name, F.transform(as_name, lambda s: F.struct(s["name"].alias("name"), s["count"].alias("count"))))
+    return child_pages(counts, group, [F.desc("count"), "name"], ["name", "count"], as_name, page)
 
 
 # AG-04

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.functions.rules import ColumnOrName, case, col
-from plumbline.operators.keyed import latest_per_key, top_n_per_group
+from plumbline.operators.keyed import latest_per_key
+from plumbline.operators.relational import PAGE, child_pages
 from plumbline.plans import vocab as V
 
 INVOLVEMENT = ["INVOLVED_IN", "OWNS", "DESIGNED"]
@@ -21,16 +22,13 @@ def node_id(kind: str | ColumnOrName, raw: ColumnOrName):
 
 
 # SK-06
-def neighborhood(edges: DataFrame, limit: int = 50) -> DataFrame:
-    """Per node and direction: full degree and the first ``limit`` neighbours.
-
-    A hub's adjacency is cut before it is collected; all of it stays in ``edges``.
-    """
+def neighborhood(edges: DataFrame, page: int = PAGE) -> DataFrame:
+    """Per node and direction: degree and all neighbours in order, in arrays of at most ``page`` (one row for each)."""
     both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("out").alias("dir")).unionByName(
         edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit("in").alias("dir")))
     degree = both.groupBy("id", "dir").agg(F.count(F.lit(1)).alias("degree"))
-    top = top_n_per_group(both, ["id", "dir"], ["other"], limit).groupBy("id", "dir").agg(F.array_sort(F.collect_list("other")).alias("neighbors"))
-    return degree.join(top, ["id", "dir"])
+    pages = child_pages(both, ["id", "dir"], ["other"], ["other"], "neighbors", page).withColumn("neighbors", F.col("neighbors.other"))
+    return degree.join(pages, ["id", "dir"])
 
 
 # GR-01

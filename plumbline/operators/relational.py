@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.functions.rules import ColumnOrName, col
-from plumbline.operators.keyed import top_n_per_group
 
 
 def contains_ci(columns: Sequence[ColumnOrName], q: str) -> Column:
@@ -51,21 +51,34 @@ def lookup_by_alternates(df: DataFrame, alternates: Sequence[tuple[Column, objec
 
 
 # JN-02 / JN-05
-def attach_children(parent: DataFrame, child: DataFrame, on: Sequence[str], order: Sequence[ColumnOrName], fields: Sequence[str],
-                    limit: int, as_name: str) -> DataFrame:
-    """1:N attach as an ordered array of at most ``limit`` children, plus the full count.
+PAGE = 10_000
+
+
+def child_pages(child: DataFrame, on: Sequence[str], order: Sequence[ColumnOrName], fields: Sequence[str], as_name: str, page: int = PAGE) -> DataFrame:
+    """(on, page, array): all children of a key in order, in arrays of at most ``page``; pages are numbered from 0.
 
-    The children are cut per key before they are collected, so the array and the
-    task that builds it stay bounded; the rows beyond the limit stay available in
-    ``child`` and are counted in ``<as_name>_count``.
+    No child is left out, and no array grows with its key.
     """
-    counts = child.groupBy(*on).agg(F.count(F.lit(1)).alias(f"{as_name}_count"))
-    top = top_n_per_group(child, on, order, limit, rank="_pos")
-    lists = top.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("_pos", *fields))).alias(as_name))
-    lists = lists.withColumn(as_name, F.transform(as_name, lambda s: F.struct(*[s[f].alias(f) for f in fields])))
-    return parent.join(counts, list(on), "left").join(lists, list(on), "left").withColumn(
-        f"{as_name}_count", F.coalesce(f"{as_name}_count", F.lit(0))
-    )
+    place = F.row_number().over(W.partitionBy(*on).orderBy(*[col(o) for o in order]))
+    numbered = child.withColumn("_pos", place).withColumn("page", F.floor((F.col("_pos") - 1) / page).cast("int"))
+    lists = numbered.groupBy(*on, "page").agg(F.array_sort(F.collect_list(F.struct("_pos", *fields))).alias(as_name))
+    return lists.withColumn(as_name, F.transform(as_name, lambda s: F.struct(*[s[f].alias(f) for f in fields])))
+
+
+def attach_pages(parent: DataFrame, lists: Sequence[tuple[str, DataFrame]], on: Sequence[str]) -> DataFrame:
+    """Parents with the pages of several child tables side by side: one row per parent and page, page 0 without children.
+
+    ``<name>_count`` is the number of children on the row's page.
+    """
+    pages = reduce(lambda x, y: x.join(y, [*on, "page"], "full"), [df for _, df in lists])
+    out = parent.join(pages, list(on), "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    return out.withColumns({f"{n}_count": F.when(F.col(n).isNull(), 0).otherwise(F.size(n)).cast("long") for n, _ in lists})
+
+
+def attach_children(parent: DataFrame, child: DataFrame, on: Sequence[str], order: Sequence[ColumnOrName], fields: Sequence[str],
+                    as_name: str, page: int = PAGE) -> DataFrame:
+    """1:N attach of all children as ordered arrays, one row per parent and page (a single one up to ``page`` children)."""
+    return attach_pages(parent, [(as_name, child_pages(child, on, order, fields, as_name, page))], on)
 
 
 # JN-03

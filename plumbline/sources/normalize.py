@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import contacts as C
 from plumbline.functions import text as X
-from plumbline.operators.keyed import first_per_key, top_n_per_group
-from plumbline.operators.relational import attach_children
+from plumbline.operators.keyed import first_per_key
+from plumbline.operators.relational import PAGE, attach_pages, child_pages
 from plumbline.plans import permits as P
 from plumbline.plans import vocab as V
 
@@ -183,13 +183,18 @@ def explode_records(df: DataFrame) -> dict[str, DataFrame]:
 
 
 # NR-08
-def project_detail(projects: DataFrame, permits: DataFrame, signals: DataFrame, companies: DataFrame, limit: int = 50) -> DataFrame:
-    """Projects with nested children (permits newest first, signals by importance); placeholder companies are left out."""
+def project_detail(projects: DataFrame, permits: DataFrame, signals: DataFrame, companies: DataFrame, page: int = PAGE) -> DataFrame:
+    """Projects with all nested children (permits newest first, signals by importance), one row per project and page of
+    children; placeholder companies are left out."""
+    on = ["project_id"]
     p = projects.withColumnRenamed("id", "project_id")
-    out = attach_children(p, permits, ["project_id"], [F.desc("permit_date"), "permit_number"], ["permit_number", "permit_date"], limit, "permits")
-    out = attach_children(out, signals, ["project_id"], [F.desc("importance_score"), "id"], ["signal_type", "importance_score"], limit, "signals")
     real = companies.filter(C.is_source_backed("name"))
-    return attach_children(out, real, ["project_id"], ["name", "role"], ["name", "role"], limit, "companies")
+    lists = [
+        ("permits", child_pages(permits, on, [F.desc("permit_date"), "permit_number"], ["permit_number", "permit_date"], "permits", page)),
+        ("signals", child_pages(signals, on, [F.desc("importance_score"), "id"], ["signal_type", "importance_score"], "signals", page)),
+        ("companies", child_pages(real, on, ["name", "role"], ["name", "role"], "companies", page)),
+    ]
+    return attach_pages(p, lists, on)
 
 
 # NR-09
@@ -202,8 +207,7 @@ def source_documents(records: DataFrame, opps: DataFrame) -> DataFrame:
 
 
 # NR-13
-def evidence_ref(df: DataFrame, key: str, limit: int = 6) -> DataFrame:
-    """References of the first ``limit`` evidence rows per key, as label strings."""
-    top = top_n_per_group(df, [key], ["seq"], limit, rank="_pos")
-    refs = F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.concat_ws(": ", "source_name", "title").alias("label")))), lambda s: s["label"])
-    return top.groupBy(key).agg(refs.alias("refs"))
+def evidence_ref(df: DataFrame, key: str, page: int = PAGE) -> DataFrame:
+    """References of all evidence rows per key, in order, as label strings (one row per key and page)."""
+    labelled = df.withColumn("label", F.concat_ws(": ", "source_name", "title"))
+    return child_pages(labelled, [key], ["seq"], ["label"], "refs", page).withColumn("refs", F.col("refs.label"))
