@@ -78,11 +78,20 @@ SCORED = f"""SELECT *, greatest(0, least(100, ns * 30 + nw * 8 + nc * 10 - nn *
   + CASE WHEN ns > 0 AND bonus THEN 12 ELSE 0 END)) AS score FROM ({SIGNALS})"""
 
 
+def quoted(label: str, pattern: str) -> str:
+    """The sentence around the first hit of a strong rule, as ``label=sentence``; NULL without one."""
+    pos = f"(length(regexp_extract(text, {q('^((?:.|' + chr(10) + ')*?)(?:' + pattern + ')')}, 1, 'i')) + 1)"
+    start = f"(CASE WHEN contains(substr(text, 1, {pos} - 1), '.') THEN {pos} - length(split_part(reverse(substr(text, 1, {pos} - 1)), '.', 1)) ELSE 1 END)"
+    stop = f"(CASE WHEN strpos(substr(text, {pos}), '.') > 0 THEN {pos} + strpos(substr(text, {pos}), '.') - 1 ELSE least(length(text), {pos} - 1 + 180) END)"
+    return f"CASE WHEN {rx('text', pattern)} THEN {q(label)} || '=' || trim(regexp_replace(substr(text, {start}, {stop} - {start} + 1), '\\s+', ' ', 'g')) END"
+
+
 @query("cl26_fence_signals", f"""
-SELECT seq, ns AS strong, nw AS weak, nc AS context, nn AS negative, score, CASE WHEN ns > 0 THEN 'direct' WHEN nw > 0 THEN 'weak' WHEN nc > 0 THEN 'contextual' ELSE 'none' END AS tier FROM ({SCORED})""")
+SELECT seq, concat_ws('|', {', '.join(quoted(*rule) for rule in V.FENCE_STRONG)}) AS snippets, ns AS strong, nw AS weak, nc AS context, nn AS negative, score, CASE WHEN ns > 0 THEN 'direct' WHEN nw > 0 THEN 'weak' WHEN nc > 0 THEN 'contextual' ELSE 'none' END AS tier FROM ({SCORED})""")
 def _(t):
     n = lambda c: F.size(c).alias(c)
-    return rows(t).select("seq", n("strong"), n("weak"), n("context"), n("negative"), F.col("fence_score").alias("score"), F.col("fence_tier").alias("tier"))
+    said = F.array_join(F.transform("fence_snippets", lambda s: F.concat(s["signal"], F.lit("="), s["snippet"])), "|").alias("snippets")
+    return rows(t).select("seq", said, n("strong"), n("weak"), n("context"), n("negative"), F.col("fence_score").alias("score"), F.col("fence_tier").alias("tier"))
 
 
 BLOCK = [(l, p) for l, p in V.FENCE_NEGATIVE if any(x in l for x in S.BLOCKING_NEGATIVES.split("|"))]

@@ -76,14 +76,17 @@ def non_fence_primary(scope_label: ColumnOrName) -> Column:
 
 # CL-26
 def with_fence_signals(df: DataFrame, text: str, scope_label: str, categories: str) -> DataFrame:
-    """Adds strong / weak / context / negative label arrays, score, tier and first snippet.
+    """Adds strong / weak / context / negative label arrays, score, tier and a snippet for every strong rule that hits.
 
-    The rule sets are evaluated once into arrays; score and tier are plain
-    arithmetic over them in a second projection, which keeps each generated
-    method small.
+    Each strong rule is located once: its position decides the hit and gives the
+    snippet.  Score and tier are plain arithmetic over the label arrays in a later
+    projection, which keeps each generated method small.
     """
     fence_scope = F.col(scope_label) == V.FENCE_SCOPE
-    out = df.withColumn("strong", R.multi_label(text, V.FENCE_STRONG))
+    located = F.array(*[F.coalesce(F.regexp_instr(F.col(text), F.lit(f"(?i){p}")), F.lit(0)) for _, p in V.FENCE_STRONG])
+    out = df.withColumn("_strong_at", located)
+    at = [F.get("_strong_at", F.lit(i)) for i in range(len(V.FENCE_STRONG))]
+    out = out.withColumn("strong", R.labels_where([(x > 0, label) for x, (label, _) in zip(at, V.FENCE_STRONG)]))
     out = out.withColumn("weak", R.multi_label(text, V.FENCE_WEAK)).withColumn("context", R.multi_label(text, V.FENCE_CONTEXT))
     out = out.withColumn("negative", F.when(fence_scope, _empty()).otherwise(R.multi_label(text, V.FENCE_NEGATIVE)))
     strong, weak, ctx, neg = (F.size(c) for c in ("strong", "weak", "context", "negative"))
@@ -96,8 +99,8 @@ def with_fence_signals(df: DataFrame, text: str, scope_label: str, categories: s
     )
     out = out.withColumn("fence_score", R.clamp(raw))
     out = out.withColumn("fence_tier", case([(strong > 0, "direct"), (weak > 0, "weak"), (ctx > 0, "contextual")], "none"))
-    first = F.array_min(F.array_compact(F.array(*[F.nullif(F.regexp_instr(F.col(text), F.lit(f"(?i){p}")), F.lit(0)) for _, p in V.FENCE_STRONG[:3]])))
-    return out.withColumn("fence_snippet", F.when(first.isNotNull(), X.sentence_snippet(text, first)))
+    quoted = R.labels_where([(x > 0, F.struct(F.lit(label).alias("signal"), X.sentence_snippet(text, x).alias("snippet"))) for x, (label, _) in zip(at, V.FENCE_STRONG)])
+    return out.withColumn("fence_snippets", quoted).drop("_strong_at")
 
 
 # CL-27
