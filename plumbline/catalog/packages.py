@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.base import q, query, rx, sql_first, sql_hits
 from plumbline.catalog.classify_scope import texted
+from plumbline.catalog.scoring_trades import BEST, BLOB_COLS, MATRIX
 from plumbline.functions import text as X
+from plumbline.operators import relational as R
 from plumbline.operators import search as S
 from plumbline.plans import access as AC
 from plumbline.plans import packages as PK
@@ -192,24 +194,67 @@ def _(t):
 
 def search_rows(t):
     """Wide rows with every input of the contractor search, scored from the derived opportunities."""
-    o = TR.contractor_opportunities(faceted(t).withColumn("blob", X.text_blob("project_name", "project_description", "trade", "city", "county")), "blob", "seq")
+    o = TR.contractor_opportunities(faceted(t).withColumn("blob", X.text_blob(*BLOB_COLS)), "blob")
     o = pursued(o.withColumn("fence_confidence", F.col("conf")).withColumn("positives", F.col("pos")).withColumn("fence_signal", F.col("fence_probability")).withColumn("package_scale", F.col("scale")))
-    o = o.withColumn("bidable", F.col("seq") % 2 == 0).withColumn("subcontractor_score", F.col("subcontractor.score"))
+    o = o.withColumn("bidable", F.col("seq") % 2 == 0).withColumn("subcontractor_score", F.col("subcontractor.score")).withColumn("evidence_text", F.col("text"))
     quality = PK.contact_quality(F.col("ph"), F.col("email").isNotNull(), F.col("co"), F.col("pa"))
     o = o.withColumn("contact_quality", quality).withColumn("actionability", AC.actionability("developer", "general_contractor", "architect", F.col("dm"), "phone", "email", F.lit("Unknown"), "procurement_route", "source_url"))
     return o.withColumn("package_key", X.package_key("project_name", "developer", "city"))
 
 
-@query("sr09_contractor_search")
+SEARCH_TEXT = ["project_name", "project_location", "trade", "developer", "general_contractor"]
+SEARCHED = "lower(concat_ws(' ', " + ", ".join(f"nullif({c}, '')" for c in SEARCH_TEXT) + "))"
+OTHER_REASONS = """concat_ws('|', CASE WHEN size = 'Tiny' THEN 'x' END, CASE WHEN sub = 'Low' THEN 'x' END, CASE WHEN stg = 'Late' THEN 'x' END, CASE WHEN satp >= 40 THEN 'x' END, CASE WHEN noisep > 0 THEN 'x' END)"""
+ROUTED = """CASE WHEN ph AND (dm OR co) AND (pa OR ro) THEN 'High Confidence' WHEN (ph OR dm OR pa OR ro) AND ((ph AND co) OR (co AND pa) OR (ph AND pa) OR pursuit >= 60) THEN 'Medium Confidence' ELSE 'Research Required' END"""
+KNOWN_POINTS = " + ".join(f"CASE WHEN {KNOWN.format(c)} THEN {n} ELSE 0 END" for c, n in (("developer", 14), ("general_contractor", 16), ("architect", 6), ("procurement_route", 8)))
+ACTIONABLE = f"least(100, {KNOWN_POINTS} + CASE WHEN dm THEN 18 ELSE 0 END + CASE WHEN phone IS NOT NULL THEN 22 ELSE 0 END + CASE WHEN email IS NOT NULL THEN 14 ELSE 0 END + 8)"
+
+
+def search_sql(trade: str) -> str:
+    """Every row with its score for ``trade`` and the inputs of the search."""
+    return f"""
+WITH mm AS ({MATRIX} SELECT * FROM m), own AS ({MATRIX}{BEST} SELECT seq, {OTHER_REASONS} AS reasons FROM best), ff AS ({FACETS} SELECT * FROM f), pp AS ({PQ}),
+pr AS (SELECT seq, pursuit, ph, dm, co, pa, {ROUTED} AS pursuit_confidence FROM pp),
+x AS (SELECT ff.*, mm.r, mm.satp, mm.noisep, mm.score AS tscore, mm.sub_s, own.reasons, pr.* EXCLUDE (seq), {ACTIONABLE} AS act,
+  CASE WHEN ph THEN 100 WHEN email IS NOT NULL THEN 70 WHEN co THEN 40 WHEN pa THEN 25 ELSE 0 END AS cq, {SEARCHED} AS searched,
+  CASE WHEN ff.access_score >= 70 THEN 5 ELSE 0 END + CASE pr.pursuit_confidence WHEN 'High Confidence' THEN 10 WHEN 'Research Required' THEN -18 ELSE 0 END - CASE WHEN mm.r < 35 THEN 30 ELSE 0 END AS adj
+  FROM ff JOIN mm USING (seq) JOIN own USING (seq) JOIN pr USING (seq) WHERE mm.model = {q(trade)})"""
+
+
+@query("sr09_trade_search", search_sql("Roofing") + f""",
+y AS (SELECT *, greatest(0, least(100, CAST(floor((r * 28 + tscore * 24 + pursuit * 36 + act * 8 + cq * 4 + 50) / 100.0) AS INT) + 3 * CAST(contains(searched, 'roofing') AS INT) + adj)) AS search_score,
+  {sql_hits('txt', V.TRADE_EVIDENCE_TERMS['Roofing'])} > 0 OR (NOT contains(trade, ',') AND contains(lower(trade), 'roofing')) AS evidence
+  FROM (SELECT *, regexp_replace(lower(project_name || ' ' || project_description), {q(V.BOILERPLATE)}, ' ', 'g') AS txt FROM x))
+SELECT seq, pursuit_confidence, r AS trade_relevance, tscore AS contractor_score, search_score FROM y
+WHERE search_score >= 35 AND reasons = '' AND r >= 50 AND satp < 40 AND noisep = 0 AND tscore >= 35 AND evidence AND pursuit >= 18
+ORDER BY CASE pursuit_confidence WHEN 'High Confidence' THEN 3 WHEN 'Medium Confidence' THEN 2 ELSE 1 END DESC, pursuit DESC, r DESC, tscore DESC, search_score DESC, act DESC, cq DESC, seq LIMIT 30""")
 def _(t):
-    out = PK.contractor_search(search_rows(t), "fence sacramento", ["project_name", "project_location", "trade", "developer", "general_contractor"], "seq", {"contact": ["phone"]})
-    return out.select("seq", "package_size", "package_scale", "contractor_score", "search_score")
+    out = PK.contractor_search(search_rows(t), "roofing", SEARCH_TEXT, "seq")
+    return out.select("seq", "pursuit_confidence", "trade_relevance", "contractor_score", "search_score")
 
 
-@query("sr09_trade_search")
+FENCE_RANK = "CASE conf WHEN 'Primary Opportunity' THEN 5 WHEN 'Secondary Opportunity' THEN 4 WHEN 'Weak Opportunity' THEN 1 ELSE 0 END"
+FENCE_ROWS = search_sql("Fencing") + f""",
+g0 AS (SELECT *, {FENCE_RANK} AS frank, CASE WHEN housing THEN greatest(r, 58) WHEN pos > 0 THEN greatest(r, least(100, 55 + pos * 15)) WHEN conf = 'No Evidence' THEN 0 WHEN conf = 'Weak Opportunity' THEN least(r, 25) ELSE least(r, 45) END AS rel FROM x),
+g AS (SELECT *, greatest(0, least(100, CAST(floor((frank * 1400 + fence_probability * 32 + least(100, pos * 30) * 24 + least(tscore, 100) * 18 + sub_s * 12 + 50) / 100.0) AS INT))) AS fscore,
+  CAST(floor((scale * 1800 + frank * 1000 + fence_probability * 18 + tscore * 16 + pursuit * 16 + cq * 12 + act * 6 + 50) / 100.0) AS INT) AS b0 FROM g0),
+h AS (SELECT *, CASE WHEN contact_status = 'phone' THEN b0 + 6 ELSE greatest(26, CAST(floor((b0 * 55 + 50) / 100.0) AS INT)) END AS b1 FROM g),
+k AS (SELECT *, greatest(0, least(100, CASE WHEN scale < 2 THEN greatest(26, least(b1, 58)) ELSE b1 END + 3 * (CAST(contains(searched, 'fence') AS INT) + CAST(contains(searched, 'sacramento') AS INT))
+  + CASE WHEN contains(searched, 'sacramento') THEN 8 ELSE 0 END + adj)) AS search_score FROM h
+  WHERE (seq % 2 = 0 OR housing))"""
+FENCE_SORT = "CASE package_size WHEN 'development' THEN 3 WHEN 'commercial' THEN 2 ELSE 1 END DESC, contact_status = 'phone' DESC, scale DESC, frank DESC, cq DESC, fence_probability DESC, fscore DESC, search_score DESC, seq"
+
+
+@query("wn09_fencing_sort", FENCE_ROWS + f" SELECT seq, package_size, scale AS package_scale, fscore AS contractor_score, search_score FROM k WHERE scale < 3 AND NOT housing AND search_score >= 25 AND reasons = '' AND rel >= 25 AND satp < 40 AND noisep = 0 AND direct ORDER BY {FENCE_SORT} LIMIT 50")
 def _(t):
-    out = PK.contractor_search(search_rows(t), "roofing", ["project_name", "project_location", "trade", "developer", "general_contractor"], "seq")
-    return out.select("seq", "pursuit_confidence", "trade_relevance", "contractor_score", "search_score")
+    rows = R.filter_once(search_rows(t), (F.col("package_scale") < 3) & ~F.col("housing"))  # single rows: what is left is the gate and the eight sort keys
+    return PK.contractor_search(rows, "fence sacramento", SEARCH_TEXT, "seq").select("seq", "package_size", "package_scale", "contractor_score", "search_score")
+
+
+@query("sr09_contractor_search")
+def _(t):
+    out = PK.contractor_search(search_rows(t), "fence sacramento", SEARCH_TEXT, "seq", {"contact": ["phone"]})
+    return out.select("seq", "package_size", "package_scale", "contractor_score", "search_score")
 
 
 @query("sr11_combined_search")

@@ -77,7 +77,7 @@ BEST = ", best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY seq O
 
 @query("wn15_best_trade", MATRIX + BEST + " SELECT seq, model, score AS trade_score FROM best")
 def _(t):
-    return T.best_trade(T.trade_scores(T.with_ladders(blobbed(t), "text"), "text"), "seq").select("seq", "model", "trade_score")
+    return T.best_trade(T.with_trade_scores(T.with_ladders(blobbed(t), "text"), "text")).select("seq", "model", "trade_score")
 
 
 SUPPRESS = """concat_ws('|', CASE WHEN size = 'Tiny' THEN 'Tiny scope' END, CASE WHEN sub = 'Low' THEN 'Low subcontractor likelihood' END, CASE WHEN stg = 'Late' THEN 'Late or closed stage' END,
@@ -86,14 +86,14 @@ SUPPRESS = """concat_ws('|', CASE WHEN size = 'Tiny' THEN 'Tiny scope' END, CASE
 
 @query("cl33_suppression", MATRIX + BEST + f" SELECT seq, {SUPPRESS} AS reasons, score >= 35 AND {SUPPRESS} = '' AS visible FROM best")
 def _(t):
-    return T.contractor_opportunities(blobbed(t), "text", "seq").select("seq", F.array_join("suppress_reasons", "|").alias("reasons"), F.col("contractor_visible").alias("visible"))
+    return T.contractor_opportunities(blobbed(t), "text").select("seq", F.array_join("suppress_reasons", "|").alias("reasons"), F.col("contractor_visible").alias("visible"))
 
 
 @query("cl52_score_reason", MATRIX + BEST + f""" SELECT seq, model || ' score ' || CAST(score AS VARCHAR) || ': ' || size || ' scope, ' || lower(CASE sub WHEN 'MediumA' THEN 'Medium' ELSE sub END) || ' subcontractor likelihood, '
   || (CASE osz_s WHEN 95 THEN 'very high' WHEN 78 THEN 'high' WHEN 58 THEN 'medium' WHEN 52 THEN 'medium' WHEN 8 THEN 'very low' ELSE 'low' END) || ' opportunity size, ' || lower(CASE stg WHEN 'OpenS' THEN 'Open' ELSE stg END) || ' stage.'
   || CASE WHEN {SUPPRESS} <> '' THEN ' Suppressed: ' || replace({SUPPRESS}, '|', ', ') || '.' ELSE '' END AS reason FROM best""")
 def _(t):
-    return T.contractor_opportunities(blobbed(t), "text", "seq").select("seq", F.col("qualification_reason").alias("reason"))
+    return T.contractor_opportunities(blobbed(t), "text").select("seq", F.col("qualification_reason").alias("reason"))
 
 
 # --- access paths ------------------------------------------------------------------------------

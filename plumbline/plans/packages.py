@@ -15,6 +15,7 @@ from plumbline.operators.keyed import collapse_packages
 from plumbline.operators.relational import filter_once
 from plumbline.operators.search import query_terms, query_trades, with_term_hits
 from plumbline.plans import vocab as V
+from plumbline.plans.trades import requested_trade
 
 
 # --- package cues: computed once as boolean columns ------------------------------------------
@@ -345,44 +346,71 @@ def search_score(mode: str, actionability: ColumnOrName, trade_score: ColumnOrNa
     return half(col(actionability) * 35 + col(trade_score) * 25 + col(pursuit) * 40)
 
 
+def searched_reasons(reasons: ColumnOrName, relevance: ColumnOrName, saturation: ColumnOrName, noise: ColumnOrName) -> Column:
+    """Suppression reasons of a row, with those of its own trade replaced by those of the searched one."""
+    own = R.labels_where([
+        (col(relevance) < 25, "Weak trade relevance"), (col(saturation) >= 40, "Existing GC appears to be the searched trade contractor"), (col(noise) > 0, "Likely noise match")])
+    return F.array_union(F.array_remove(col(reasons), "Weak trade relevance"), own)
+
+
 def contractor_search(df: DataFrame, q: str, text_cols: list[str], id_col: str, filters: dict[str, list[str]] | None = None) -> DataFrame:
-    """SR-09: suppress, score, gate, facet, sort, collapse packages, limit.
+    """SR-09: suppress, score the requested trade, gate, facet, sort, collapse packages, limit.
 
-    ``df`` carries the cue columns, the four facet columns and: bidable, fence_confidence, positives, fence_signal,
-    trade_score, trade_relevance, pursuit, pursuit_confidence, contact_quality, package_scale, actionability,
-    suppress_reasons, subcontractor_score, access_score, package_key.
+    ``df`` carries the cue columns, the four facet columns and: trade_scores (all models, see ``with_trade_scores``),
+    evidence_text and trade, bidable, fence_confidence, positives, fence_signal, pursuit, pursuit_confidence,
+    contact_quality, package_scale, actionability, suppress_reasons, subcontractor_score, access_score, package_key.
+    The score is that of the best requested trade; a row without direct evidence of a requested trade is no result.
     """
     terms, trades = query_terms(q), query_trades(q)
     fencing = trades == ["Fencing"]
     out = filter_once(df, ~suppress_fencing(trades, F.col("bidable"), "fence_confidence", "positives"))
-    if fencing:
-        out = out.withColumn("trade_relevance", fencing_relevance("fence_confidence", "positives", "trade_relevance")).withColumn(
-            "contractor_score", fencing_score("fence_confidence", "fence_signal", "positives", "trade_score", "subcontractor_score"))
-    else:
-        out = out.withColumn("contractor_score", F.col("trade_score"))
+    out = out.withColumn("_asked", requested_trade(trades))
+    asked = F.col("_asked")
+    as_fence = asked["model"] == "Fencing"
+    own_score, own_relevance = asked["trade_score"], asked["trade_relevance"]
+    out = out.withColumns({
+        "search_trade": asked["model"],
+        "trade_score": own_score,
+        "asked_relevance": own_relevance,
+        "trade_relevance": F.when(as_fence, fencing_relevance("fence_confidence", "positives", own_relevance)).otherwise(own_relevance),
+        "contractor_score": F.when(as_fence, fencing_score("fence_confidence", "fence_signal", "positives", own_score, "subcontractor_score")).otherwise(own_score),
+    })
+    out = out.withColumn("suppress_reasons", searched_reasons("suppress_reasons", "trade_relevance", asked["saturation_penalty"], asked["noise_penalty"]))
     out = out.withColumn("_rank", fence_scope_rank("fence_confidence"))
-    base = search_score("fencing" if fencing else "trade" if trades else "general", "actionability", "trade_score", "trade_relevance", "pursuit", "contact_quality", "package_scale", "_rank", "fence_signal",
+    base = search_score("fencing" if fencing else "trade" if trades else "general", "actionability", "trade_score", "asked_relevance", "pursuit", "contact_quality", "package_scale", "_rank", "fence_signal",
                         F.col("contact_status") == "phone")
     out = with_term_hits(out, text_cols, terms)
+    in_sacramento = F.lit("sacramento" in terms) & contains_any(F.lower(F.concat_ws(" ", *text_cols)), ["sacramento"])
     adjust = R.points(
         [
-            (F.lit(bool(trades)) & (F.col("trade_relevance") < 35), -30), (F.size("suppress_reasons") > 0, F.size("suppress_reasons") * -22), (F.col("access_score") >= 70, 5),
+            (F.lit(bool(trades)) & (F.col("asked_relevance") < 35), -30), (F.size("suppress_reasons") > 0, F.size("suppress_reasons") * -22), (in_sacramento, 8), (F.col("access_score") >= 70, 5),
             (F.col("pursuit_confidence") == "High Confidence", 10), (F.col("pursuit_confidence") == "Research Required", -18),
         ], 0)
     out = out.withColumn("search_score", R.clamp(base + F.col("_hits") * 3 + adjust)).drop("_hits")
+
+    def of_trade(field: str) -> dict[str, Column]:
+        one = lambda t: F.coalesce(F.get(F.filter("trade_scores", lambda m: m["model"] == t), F.lit(0))[field], F.lit(0))
+        return {t: one(t) for t in trades}
+
     keep = (F.col("search_score") >= (25 if fencing else 35)) & (F.size("suppress_reasons") == 0)
-    if fencing:
-        keep = keep & (direct_pursuit("fence_confidence", "positives") | F.col("housing")) & (F.col("bidable") | F.col("housing"))
-    else:
+    keep = keep & scope_matches(trades, F.col("bidable"), "fence_confidence", "positives", "evidence_text", "trade", of_trade("trade_relevance"), of_trade("trade_score"))
+    if not fencing:
         keep = keep & (F.col("pursuit") >= 18)
     out = filter_once(out, keep)
-    out = facet_filter(out, filters or {})
-    size_rank = case([(F.col("package_size") == "development", 3), (F.col("package_size") == "commercial", 2)], 1)
-    conf_rank = case([(F.col("pursuit_confidence") == "High Confidence", 3), (F.col("pursuit_confidence") == "Medium Confidence", 2)], 1)
+    out = facet_filter(out, filters or {}).drop("_asked")
+    order = search_order(fencing, id_col)
     if fencing:
-        order = [F.desc(size_rank), F.desc((F.col("contact_status") == "phone").cast("int")), F.desc("package_scale"), F.desc("_rank"), F.desc("contact_quality"), F.desc("fence_signal"),
-                 F.desc("contractor_score"), F.desc("search_score"), id_col]
         out = collapse_packages(out, "package_scale", "package_key", id_col, order, 3, always=F.col("housing"))
         return out.orderBy(*order).limit(50).drop("_rank")
-    order = [F.desc(conf_rank), F.desc("pursuit"), F.desc("trade_relevance"), F.desc("contractor_score"), F.desc("search_score"), F.desc("actionability"), F.desc("contact_quality"), id_col]
     return out.orderBy(*order).limit(30).drop("_rank")
+
+
+# WN-09
+def search_order(fencing: bool, id_col: str) -> list[Column]:
+    """Sort keys of the search: eight and the id for a fencing search, seven and the id for others."""
+    size_rank = case([(F.col("package_size") == "development", 3), (F.col("package_size") == "commercial", 2)], 1)
+    conf_rank = case([(F.col("pursuit_confidence") == "High Confidence", 3), (F.col("pursuit_confidence") == "Medium Confidence", 2)], 1)
+    if fencing:
+        return [F.desc(size_rank), F.desc((F.col("contact_status") == "phone").cast("int")), F.desc("package_scale"), F.desc("_rank"), F.desc("contact_quality"), F.desc("fence_signal"),
+                F.desc("contractor_score"), F.desc("search_score"), F.col(id_col)]
+    return [F.desc(conf_rank), F.desc("pursuit"), F.desc("trade_relevance"), F.desc("contractor_score"), F.desc("search_score"), F.desc("actionability"), F.desc("contact_quality"), F.col(id_col)]
