@@ -82,11 +82,11 @@ def _prints(docs: DataFrame, k: int, window: int, short: list[int]) -> DataFrame
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
-def _extended(joined: DataFrame) -> DataFrame:
-    """(id, carried, n_words, spans, items) of each document from the windows of its candidate items."""
+def _extended(joined: DataFrame, kept: list[str]) -> DataFrame:
+    """(kept columns, n_words, spans, items) of each document from the windows of its candidate items."""
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     item = joined.schema["found"].dataType.elementType["item"].dataType
-    schema = T.StructType([joined.schema["id"], joined.schema["carried"], T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(item))])
+    schema = T.StructType([*(joined.schema[c] for c in kept), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(item))])
     arrow_span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def check(hashes: np.ndarray, found: list) -> tuple[list, list]:
@@ -116,9 +116,9 @@ def _extended(joined: DataFrame) -> DataFrame:
                     s, m = check(words.hash[words.bounds[i] : words.bounds[i + 1]], found) if found else ([], [])
                     spans.append(s)
                     items.append(m)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), batch.column("carried").slice(first, last - first), pa.array(np.diff(words.bounds)), pa.array(spans, pa.list_(arrow_span)), pa.array(items, pa.list_(batch.schema.field("found").type.value_type.field("item").type))], ["id", "carried", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, last - first) for c in kept), pa.array(np.diff(words.bounds)), pa.array(spans, pa.list_(arrow_span)), pa.array(items, pa.list_(batch.schema.field("found").type.value_type.field("item").type))], [*kept, "n_words", "spans", "items"])
 
-    return joined.select("id", "text", "carried", "found").mapInArrow(run, schema)
+    return joined.select(*kept, "text", "found").mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5, carry: Sequence[str] = ()) -> DataFrame:
@@ -131,7 +131,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     all documents clean.  The columns named in ``carry`` come back unchanged, others are not read.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
+    carried = [f"_carry{i}" for i in range(len(carry))]
     items = scratch.save(_items(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), k, window).filter("item IS NOT NULL"), "items")
     prints = scratch.save(items.select("item", F.explode("prints").alias("print")).distinct(), "prints")
     short = sorted(r["width"] for r in items.filter(F.col("width") < window).select("width").distinct().collect())  # below ``window`` values
@@ -139,5 +140,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = hits.join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "width", "windows")).alias("found"))
     found = scratch.save(found.withColumnRenamed("id", "found_id"), "found")
     # a merge join at every size: texts are shuffled once, however many documents are hit
-    out = _extended(base.hint("merge").join(found, F.col("id").eqNullSafe(F.col("found_id")), "left"))
-    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items", *[F.col("carried")[c].alias(c) for c in carry])
+    out = _extended(base.hint("merge").join(found, F.col("id").eqNullSafe(F.col("found_id")), "left"), ["id", *carried])
+    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items", *[F.col(x).alias(c) for x, c in zip(carried, carry)])

@@ -50,15 +50,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so is a row without id.  Rows that repeat a document get the same result each.  The columns named in ``carry`` come
     back unchanged, others are not read.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
+    carried = [f"_carry{i}" for i in range(len(carry))]
     later = repeated_windows(base, "id", "text", window, salts).groupBy("id").agg(F.collect_set("pos").alias("starts"))
-    joined = base.join(later, "id", "left").select("id", "text", "carried", "starts", _once(F.split("text", "\n")).alias("lines"))
+    joined = base.join(later, "id", "left").select("id", "text", *carried, "starts", _once(F.split("text", "\n")).alias("lines"))
     covered = F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (window - 1))))
-    left = joined.select("id", "text", "carried", "lines", _once(F.when(F.col("starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered))).alias("left"))
+    left = joined.select("id", "text", *carried, "lines", _once(F.when(F.col("starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered))).alias("left"))
     return left.select(
         F.col("id").alias(id_col),
         F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")).alias(text_col),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(F.col("left").isNull(), 0).otherwise(F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
-        *[F.col("carried")[c].alias(c) for c in carry],
+        *[F.col(x).alias(c) for x, c in zip(carried, carry)],
     )
