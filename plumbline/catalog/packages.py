@@ -69,9 +69,9 @@ def _(t):
     return facet_counts(faceted(t), {"size": "package_size", "contact": "contact_status", "type": "job_type", "location": "facet_location"}, V.FACET_VALUES, {"location": 12})
 
 
-@query("fl16_facet_filter", FACETS + " SELECT seq FROM f WHERE package_size IN ('development', 'small') AND contact_status = 'phone' AND lower(trade) = 'roofing' AND contains(lower(city || ', ' || county), 'placer')")
+@query("fl16_facet_filter", FACETS + " SELECT seq FROM f WHERE package_size IN ('development', 'small') AND contact_status = 'phone' AND lower(trade) = 'roofing' AND contains(lower(city || ', ' || county), 'el dorado')")
 def _(t):
-    params = PK.facet_params({"size": "development,small,huge", "contact": "phone", "trade": "roofing", "location": "placer"})
+    params = PK.facet_params({"size": "development,small,huge", "contact": "phone", "trade": "roofing", "location": "el dorado"})
     return PK.facet_filter(faceted(t), params).select("seq")
 
 

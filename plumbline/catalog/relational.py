@@ -254,9 +254,10 @@ def _(t):
     return t.opps.select("seq", F.array_join(F.array_sort(labels), "|").alias("labels"))
 
 
-@query("st03_set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("st03_set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def _(t):
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    urgent = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @query("st04_token_overlap", """

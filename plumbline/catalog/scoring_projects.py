@@ -67,11 +67,17 @@ def projects(t):
     return first_per_key(rows(t), ["seq"], ["trade"])
 
 
-@query("sm02_fit_score", ONE + """
-SELECT seq, greatest(0, least(100, 40 + CASE status WHEN 'Completed' THEN -30 ELSE 16 END + CASE size WHEN 'Mega Project' THEN 14 WHEN 'Large' THEN 10 ELSE 0 END + CASE WHEN ptype = 'Residential' AND seq % 60 >= 25 THEN 12 ELSE 0 END + CASE WHEN ptype = 'Commercial' THEN 8 ELSE 0 END
-  + CASE WHEN ptype = 'Infrastructure' THEN 8 ELSE 0 END + CASE WHEN s_early OR s_pipe THEN 12 ELSE 0 END + CASE WHEN s_permit OR status = 'Permitted' THEN 7 ELSE 0 END + CASE WHEN gc = 0 THEN 10 ELSE -8 END)) AS score FROM o""")
+FIT_SCORE = """greatest(0, least(100, 40 + CASE status WHEN 'Completed' THEN -30 ELSE 16 END + CASE size WHEN 'Mega Project' THEN 14 WHEN 'Large' THEN 10 ELSE 0 END + CASE WHEN ptype = 'Residential' AND seq % 60 >= 25 THEN 12 ELSE 0 END + CASE WHEN ptype = 'Commercial' THEN 8 ELSE 0 END
+  + CASE WHEN ptype = 'Infrastructure' THEN 8 ELSE 0 END + CASE WHEN s_early OR s_pipe THEN 12 ELSE 0 END + CASE WHEN s_permit OR status = 'Permitted' THEN 7 ELSE 0 END + CASE WHEN gc = 0 THEN 10 ELSE -8 END))"""
+
+
+@query("sm02_fit_score", ONE + f" SELECT seq, {FIT_SCORE} AS score FROM o")
 def _(t):
-    return projects(t).select("seq", O.fit_score("status", "size", "ptype", F.col("seq") % 60, F.col("kinds"), "gc")["score"].alias("score"))
+    return projects(t).select("seq", fitted().alias("score"))
+
+
+def fitted():
+    return O.fit_score("status", "size", "ptype", F.col("seq") % 60, F.col("kinds"), "gc")["score"]
 
 
 @query("sm03_confidence_breakdown", ONE + """

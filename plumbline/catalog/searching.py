@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.catalog.scoring_projects import FIT_SCORE, ONE, fitted, projects
 from plumbline.catalog.base import q, query, rx, sql_first, sql_hits, sql_multi
 from plumbline.catalog.classify_permits import PLAN_TEXT, STAGE_TEXT
 from plumbline.catalog.scalar import STOPS
@@ -128,10 +129,12 @@ def _(t):
     return S.dense_search(t.embeddings, "vec_id", "embedding", seed, 10).select("vec_id", F.floor(F.col("score") * 1000 + 0.5).alias("milli"))
 
 
-@query("sr12_assist_rank", f"SELECT seq, s AS search_score, qualification_score FROM (SELECT seq, qualification_score, applied_ms, {sql_hits(PBLOB, KT)} * 3 AS s FROM opps) WHERE s > 0 ORDER BY s DESC, applied_ms DESC, seq LIMIT 8")
+@query("sr12_assist_rank", ONE + f""", k AS (SELECT seq, s AS search_score FROM (SELECT seq, applied_ms, {sql_hits(PBLOB, KT)} * 3 AS s FROM opps) WHERE s > 0 ORDER BY s DESC, applied_ms DESC, seq LIMIT 8)
+SELECT seq, search_score, {FIT_SCORE} AS fit_score FROM o JOIN k USING (seq) ORDER BY fit_score DESC, seq""")
 def _(t):
-    top = S.keyword_search(t.opps, PCOLS, KW, 8, "seq", "applied_ms")
-    return top.orderBy(F.desc("qualification_score"), "seq").select("seq", "search_score", "qualification_score")
+    top = S.keyword_search(t.opps, PCOLS, KW, 8, "seq", "applied_ms").select("seq", "search_score")
+    scored = projects(t).join(top, "seq").select("seq", "search_score", fitted().alias("fit_score"))
+    return scored.orderBy(F.desc("fit_score"), "seq")
 
 
 @query("cl49_query_terms", """

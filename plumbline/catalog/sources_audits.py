@@ -58,10 +58,15 @@ def _(t):
     return RD.planning_extract({"a": (p, (s != "Closed") & (s != "Withdrawn")), "b": (p, s == "Open"), "major": (p, None)}).select("seq", "layer")
 
 
-@query("sc11_source_registry", "SELECT 's' || CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, count(s_suppkey) AS companies FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
+REGISTERED = [(f"src{i}", f"Source {i}", ("county", "city", "federal")[i % 3], f"https://src{i}.test", i % 5 != 0) for i in range(16)]
+
+
+@query("sc11_source_registry", "WITH r(id, name, source_type, url, active) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)}, {q(u)}, {str(v).lower()})" for a, b, c, u, v in REGISTERED) + """)
+SELECT coalesce(r.id, n.source) AS id, r.name, r.source_type, r.url, r.active, coalesce(n.records, 0) AS records FROM r FULL JOIN (SELECT source, count(*) AS records FROM documents GROUP BY 1) n ON n.source = r.id""")
 def _(t):
-    c = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("companies"))
-    return t.nation.join(c, "n_nationkey", "left").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.coalesce("companies", F.lit(0)).alias("companies"))
+    registry = RD.source_registry(t.spark, REGISTERED)
+    records = t.documents.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("records"))
+    return registry.join(records, "id", "full").select("id", "name", "source_type", "url", "active", F.coalesce("records", F.lit(0)).alias("records"))
 
 
 @query("sc12_source_metadata", "SELECT source, max(signal_date) AS last_captured, count(*) AS records FROM signals GROUP BY 1")

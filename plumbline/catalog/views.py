@@ -207,7 +207,7 @@ SELECT {k} AS seq, 'doc-' || CAST({k} AS STRING) AS id, lang, source,
   {project_name(k, 'n_chars')} AS project_name,
   text || ' ' || {pick(k, WORK)} || '. ' || {pick(third(k, 3), WORK)} || '. ' ||
   {pick(k, ['Bid due: July 4, 2026.', 'Hearing date: 08/12/2026.', 'Construction start: Q3 2026.', 'Permit issued: 1/2/2026. Expected completion: March 3 2027.', 'No dates given.', 'Approved: June 1, 2026.'])} || ' ' ||
-  {pick(third(k, 2), ['Architect: Kevin Cook Studio.', 'General Contractor: Lund Works', 'Developer: Summit Homes, LLC', 'Civil Engineer: Delta Group.', 'Sealed bid and request for proposal; general contractor or subcontractor welcome.', 'Design-build RFQ. Trade partner list.', 'no contacts'])} || ' ' ||
+  {pick(third(k, 2), ['Architect: Kevin Cook Studio.', 'General Contractor: Lund Works', 'Developer: Summit Homes, LLC', 'Civil Engineer: Delta Group.', 'Sealed bid and request for proposal; general contractor or subcontractor welcome.', 'Design-build RFQ. Trade partner list.', 'no contacts', 'architect: Kevin Cook Studio.', 'general contractor: Lund Works', 'developer: Summit Homes'])} || ' ' ||
   {pick(third(k, 5), ['APN 123-456-789, lot 12', 'DRS 2024 hearing', '120 planned residential lots', 'fencing not required', 'GC will self-perform; closed permit', 'PLN-22-00123'])} AS text
 FROM documents"""
 
