@@ -61,13 +61,15 @@ def nearby_quantity(text: ColumnOrName, pattern: str, radius: int = 60) -> Colum
 # EX-01
 def scope_items(docs: DataFrame, text: str, key: str, rules: Sequence[tuple[str, str, str, str]] = V.SCOPE_ITEMS) -> DataFrame:
     """One row per (document, scope rule that hits) with mentions and the nearby quantity."""
+    counted = docs.select(key, text).withColumn("_n", F.array(*[F.regexp_count(F.col(text), F.lit(f"(?i){pattern}")) for *_, pattern in rules]))
     items = []
     for i, (kind, category, label, pattern) in enumerate(rules):
-        n = F.regexp_count(F.col(text), F.lit(f"(?i){pattern}"))
-        items.append(F.when(matches(text, pattern), F.struct(
+        n = F.get("_n", F.lit(i))
+        items.append(F.when(n > 0, F.struct(
             F.lit(i).alias("position"), F.lit(kind).alias("kind"), F.lit(category).alias("category"), F.lit(label).alias("label"),
             n.alias("mentions"), nearby_quantity(text, pattern).alias("quantity"))))
-    out = docs.select(key, F.explode(F.array_compact(F.array(*items))).alias("s")).select(key, "s.*")
+    # outer, as the inner form repeats the whole array in a filter of its own
+    out = counted.withColumn("_items", F.array_compact(F.array(*items))).select(key, F.inline_outer("_items")).filter("position IS NOT NULL")
     return out.withColumn("confidence", F.when(F.col("quantity").isNotNull(), "high").otherwise("medium"))
 
 
@@ -173,7 +175,7 @@ def document_signals(docs: DataFrame, text: str, key: str) -> DataFrame:
     for i, (group, label, pattern, check) in enumerate(V.EVIDENCE_SIGNALS):
         snippet = X.sentence_snippet(text, F.regexp_instr(F.col(text), F.lit(f"(?i){pattern}")))
         rows.append(F.when(matches(text, pattern), F.struct(F.lit(i).alias("position"), F.lit(group).alias("group"), F.lit(label).alias("signal"), F.lit(check).alias("check"), snippet.alias("snippet"))))
-    s = docs.select(key, F.explode(F.array_compact(F.array(*rows))).alias("s")).select(key, "s.*")
+    s = docs.select(key, F.explode_outer(F.array_compact(F.array(*rows))).alias("s")).filter("s IS NOT NULL").select(key, "s.*")
     ok = case([(F.col("check") == "fence", S.intentional_fence("snippet")), (F.col("check") == "gate", S.intentional_gate("snippet"))], True)
     kept = s.filter(ok).withColumn("_k", F.substring(X.collapse_ws(F.lower("snippet")), 1, 160))
     kept = first_per_key(kept, [key, "group", "signal", "_k"], ["position"])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import rules as R
 from plumbline.functions import text as X
 from plumbline.functions.rules import ColumnOrName, case, col, matches
-from plumbline.operators.relational import contains_ci, flag_semi
+from plumbline.operators.relational import contains_ci, filter_once, flag_semi
 from plumbline.plans import permits as P
 from plumbline.plans import vocab as V
 
@@ -75,7 +75,8 @@ def keyword_search(projects: DataFrame, text_cols: Sequence[str], q: str, k: int
     boosts = []
     for name, frame, points in (("company", companies, 4), ("signal", signals, 5), ("permit", permits, 2)):
         if frame is not None:
-            hit = frame.filter(R.contains_any(F.lower("text"), terms)).select(id_col)
+            # dealt out by id before the distinct: the derived text and a hash aggregate in one stage exceed what the code generator compiles
+            hit = filter_once(frame, R.contains_any(F.lower("text"), terms)).select(id_col).repartition(id_col)
             out = flag_semi(out, hit, id_col, f"_{name}")
             boosts.append((F.col(f"_{name}"), points))
     out = with_term_hits(out, text_cols, terms)

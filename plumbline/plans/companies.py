@@ -190,7 +190,7 @@ def company_intelligence(profiles: DataFrame, path_types: str = "path_types", be
         F.when(has("subcontractor_registration", "trade_partner"),
                row("subcontractor_access", F.lit("Company has a source-backed subcontractor or trade partner access route."), F.lit(0.85))),
     ]
-    return profiles.select("seq", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("seq", "r.*")
+    return profiles.select("seq", F.explode_outer(F.array_compact(F.array(*rows))).alias("r")).filter("r IS NOT NULL").select("seq", "r.*")
 
 
 # CL-41
