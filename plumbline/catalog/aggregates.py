@@ -200,6 +200,13 @@ def _(t):
     return r.select("from_id", "to_id", "relation", "project_count", "confidence", F.coalesce(F.array_join("trades", "|"), F.lit("")).alias("trades"))
 
 
+@query("ag15_relationship_projects", f"""
+SELECT * FROM (SELECT a.company_id AS from_id, b.company_id AS to_id, {RELATION} AS relation, a.project_id
+  FROM (SELECT DISTINCT project_id, company_id, company_type FROM facts) a JOIN (SELECT DISTINCT project_id, company_id, company_type FROM facts) b ON a.project_id = b.project_id AND a.company_id <> b.company_id) WHERE relation IS NOT NULL""")
+def _(t):
+    return CO.relationship_projects(t.facts)
+
+
 @query("ag16_top_companies", """
 SELECT s_suppkey AS company_id, s_name AS company_name, count(DISTINCT l_orderkey) AS project_count, count(l_orderkey) AS evidence_count, count(l_orderkey) FILTER (l_returnflag = 'A') AS path_count,
   count(l_orderkey) FILTER (l_returnflag = 'R') AS fencing_signals, count(l_orderkey) FILTER (l_linestatus = 'O') AS qualified FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2

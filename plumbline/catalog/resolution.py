@@ -121,6 +121,32 @@ def hypothesis_rows(t):
     return a, R.hypotheses(a, e, clusters)
 
 
+VALUES_SQL = HYP_SQL + """, vals AS (SELECT cluster, kind, value, min(key) AS first_key FROM (
+  SELECT key, CASE type WHEN 'gc' THEN 'contractor' ELSE type END AS kind, norm AS value FROM ents WHERE type IN ('developer', 'subdivision', 'gc')
+  UNION ALL SELECT seq, 'city', 'c' FROM planning UNION ALL SELECT seq, 'county', 'c' FROM planning UNION ALL SELECT seq, 'member', CAST(seq AS VARCHAR) FROM planning
+  UNION ALL SELECT seq, 'trade', split_part(entitlement, ' ', 1) FROM planning WHERE entitlement <> '') JOIN lab USING (key) GROUP BY 1, 2, 3)"""
+
+
+@query("er06_hypothesis_values", VALUES_SQL + " SELECT cluster, kind, lower(value) AS value, first_key FROM vals")
+def _(t):
+    return hypothesis_lists(t).withColumn("value", F.lower("value"))
+
+
+def hypothesis_lists(t):
+    a, _ = hypothesis_rows(t)
+    return R.hypothesis_values(a, atoms(t), R.cluster_records(atoms(t), t.planning.select(F.col("seq").alias("key"))))
+
+
+TOP = lambda kind, n: f"(SELECT string_agg(value, ', ' ORDER BY first_key, value) FROM (SELECT * FROM vals v WHERE v.cluster = h.cluster AND v.kind = {q(kind)} ORDER BY first_key, value LIMIT {n}))"
+
+
+@query("er06_hypothesis_why", VALUES_SQL + f""" SELECT cluster, lower(coalesce(nullif(concat_ws('|', CASE WHEN members > 1 THEN members || ' linked public-record breadcrumbs reinforce the same package.' END, 'Developer signal: ' || dv || '.', 'Subdivision / community cue: ' || sb || '.', 'Trade breadcrumbs: ' || td || '.',
+  CASE WHEN package_size = 'development' THEN 'Looks like a housing / development package worth early pursuit.' END), ''), 'Single-source signal with extractable entities.')) AS why
+FROM (SELECT *, {TOP('developer', 2)} AS dv, {TOP('subdivision', 2)} AS sb, {TOP('trade', 4)} AS td FROM h WHERE NOT (members = 1 AND package_size = 'small') AND NOT (members = 1 AND confidence < 0.4))""")
+def _(t):
+    return R.hypothesis_reasons(hypothesis_rows(t)[1], hypothesis_lists(t)).select("cluster", F.lower(F.array_join("why", "|")).alias("why"))
+
+
 @query("er06_hypotheses", HYP_SQL + " SELECT cluster, members, package_size, confidence FROM h WHERE NOT (members = 1 AND package_size = 'small') AND NOT (members = 1 AND confidence < 0.4)")
 def _(t):
     return hypothesis_rows(t)[1].select("cluster", "members", "package_size", "confidence")
@@ -248,14 +274,18 @@ o AS (SELECT * FROM (SELECT a.company_id AS src, b.company_id AS dst, {RELATION}
 ed AS (SELECT src, dst, type, count(DISTINCT project_id || url) AS relationship_count, count(DISTINCT project_id) AS project_count, min(seen_at) AS first_seen, max(seen_at) AS last_seen, CAST(floor(sum(cents) / count(*) + 0.5) / 100 AS DOUBLE) AS confidence FROM o GROUP BY 1, 2, 3)"""
 
 
-def relation_edges(t):
+def relation_observations(t):
     m = t.facts.groupBy("project_id", "company_id", "company_type").agg(F.min("seen_at").alias("seen_at"), F.min("source_url").alias("source_url"))
     pairs = CO.project_pairs(t.facts)
     info = lambda s: m.select("project_id", F.col("company_id").alias(f"{s}_company_id"), F.col("seen_at").alias(f"{s}_seen"), F.col("source_url").alias(f"{s}_url"))
     o = pairs.join(info("a"), ["project_id", "a_company_id"]).join(info("b"), ["project_id", "b_company_id"])
     obs = o.select(F.col("a_company_id").alias("src"), F.col("b_company_id").alias("dst"), F.col("relation").alias("type"), F.col("project_id").alias("project_name"), F.col("a_url").alias("source_url"),
                    F.lit(1).alias("evidence_count"), ((F.lit(60) + F.col("a_company_id") % 30) / 100).alias("confidence"), F.least("a_seen", "b_seen").alias("seen_at"), F.lit(0).alias("seq"))
-    return G.relationship_edges(obs)
+    return obs
+
+
+def relation_edges(t):
+    return G.relationship_edges(relation_observations(t))
 
 
 @query("gr04_relationship_edges", OBS + " SELECT * FROM ed")
@@ -263,6 +293,16 @@ def _(t):
     return relation_edges(t).select("src", "dst", "type", "relationship_count", "project_count", "first_seen", "last_seen", "confidence")
 
 
+@query("gr04_edge_projects", OBS + " SELECT src, dst, type, project_id AS project_name, max(url) AS source_url FROM o GROUP BY 1, 2, 3, 4")
+def _(t):
+    return G.relationship_edge_projects(relation_observations(t))
+
+
+@query("gr04_edge_urls", OBS + " SELECT DISTINCT src, dst, type, url AS source_url FROM o")
+def _(t):
+    return G.relationship_edge_urls(relation_observations(t))
+
+
 @query("gr04_relationship_nodes", "SELECT company_id AS id, company_type AS type, count(*) AS evidence_count, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM facts GROUP BY 1, 2")
 def _(t):
     obs = t.facts.select(F.col("company_id").alias("id"), F.col("company_type").alias("type"), F.col("company_name").alias("name"), F.lit(1).alias("evidence_count"), F.lit(1).alias("project_count"),

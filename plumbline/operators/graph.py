@@ -125,6 +125,17 @@ def relationship_edges(observations: DataFrame) -> DataFrame:
         (F.floor(F.sum("_first._cents") / F.count(F.lit(1)) + 0.5) / 100).alias("confidence"))
 
 
+def relationship_edge_projects(observations: DataFrame) -> DataFrame:
+    """(src, dst, type, project_name, source_url): the projects of every edge, each with the URL seen last."""
+    named = observations.filter(F.col("project_name").isNotNull() & (F.col("project_name") != ""))
+    return named.groupBy("src", "dst", "type", "project_name").agg(F.coalesce(F.max_by("source_url", F.struct("seq", "source_url")), F.lit("Unknown")).alias("source_url"))
+
+
+def relationship_edge_urls(observations: DataFrame) -> DataFrame:
+    """(src, dst, type, source_url): the distinct source URLs of every edge."""
+    return observations.filter("source_url IS NOT NULL AND source_url <> ''").select("src", "dst", "type", "source_url").distinct()
+
+
 def relationship_nodes(observations: DataFrame) -> DataFrame:
     """Nodes from (id, type, name, evidence_count, project_count, confidence, seen_at, seq): sums, maxima, first / last seen."""
     return observations.groupBy("id", "type").agg(

@@ -113,19 +113,20 @@ def override_chain(base: DataFrame, layers: Sequence[DataFrame], on: Sequence[st
 
 # JN-08
 def co_members(facts: DataFrame, group: str, member: str, types: dict[str, str] | None = None, keep: Column | None = None,
-               carry: Sequence[str] = (), block: int = 64) -> DataFrame:
+               carry: Sequence[str] = (), block: int = 64, opens: Column | None = None) -> DataFrame:
     """Ordered member pairs of a group that a relation rule keeps.
 
     Memberships are made distinct first.  Groups are then split into blocks of
     about ``block`` members and the join runs per (group, block, block), so one
     large group is spread over many tasks instead of one.  ``keep`` should be the
-    relation rule: only pairs that carry a relation leave the join.
+    relation rule: only pairs that carry a relation leave the join.  ``opens`` keeps
+    members that cannot open a relation out of the left side.
     """
     extra = [c for c in facts.columns if c not in (group, member)]
     sizes = facts.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
     m = facts.join(sizes, group).withColumn("_blocks", F.ceil(F.col("_n") / F.lit(block)).cast("int"))
     b = F.pmod(F.xxhash64(F.col(member).cast("string")), F.col("_blocks")).cast("int")
-    left = m.withColumn("_b", b).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    left = (m if opens is None else m.filter(opens)).withColumn("_b", b).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     left = left.select(F.col(group), F.col("_b").alias("_bl"), F.col("_o").alias("_br"), *[F.col(c).alias(f"a_{c}") for c in [member, *extra]])
     right = m.withColumn("_br", b).withColumn("_bl", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     right = right.select(F.col(group), "_bl", "_br", *[F.col(c).alias(f"b_{c}") for c in [member, *extra]])

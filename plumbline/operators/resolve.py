@@ -9,13 +9,15 @@ entity (a star), not through every pair of records.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.functions import rules as R
 from plumbline.functions import text as X
-from plumbline.functions.rules import ColumnOrName, case, col, matches
+from plumbline.functions.rules import ColumnOrName, case, col, labels_where, matches, or_default
 from plumbline.operators.keyed import best_per_key, first_per_key
 from plumbline.plans import vocab as V
 from plumbline.session import ensure_checkpoint_dir
@@ -277,8 +279,8 @@ def hypotheses(atoms: DataFrame, entities: DataFrame, clusters: DataFrame, key:
     """One row per cluster with size class and confidence; weak single records are dropped.
 
     atoms(key, title, text, city, county, trades ARRAY), entities(key, type, canonical).  Text cues are
-    tested per record and combined as flags, so member texts are never gathered;
-    value lists are cut to their first two before they are collected.
+    tested per record and combined as flags, so member texts are never gathered.
+    The value lists of a hypothesis are the long table of :func:`hypothesis_values`.
     """
     a = atoms.join(clusters, key)
     flags = a.groupBy("cluster").agg(
@@ -287,9 +289,11 @@ def hypotheses(atoms: DataFrame, entities: DataFrame, clusters: DataFrame, key:
         F.min_by(F.xxhash64(key), key).alias("_h"))
     trades = a.select("cluster", F.explode("trades").alias("trade")).groupBy("cluster").agg(F.count_distinct("trade").alias("trades"))
     e = entities.join(clusters, key)
+    # the first in the order of the members
+    first_of = lambda kind: F.min(F.when(F.col("type") == kind, F.struct(F.col(key).alias("k"), "canonical")))["canonical"]
     named = e.groupBy("cluster").agg(
         F.count_distinct(F.when(F.col("type") == "developer", F.col("canonical"))).alias("developers"), F.count_distinct(F.when(F.col("type") == "subdivision", F.col("canonical"))).alias("subdivisions"),
-        F.min(F.when(F.col("type") == "developer", F.col("canonical"))).alias("first_developer"), F.min(F.when(F.col("type") == "subdivision", F.col("canonical"))).alias("first_subdivision"),
+        first_of("developer").alias("first_developer"), first_of("subdivision").alias("first_subdivision"),
         F.coalesce(F.max((F.col("type") == "developer") & matches("canonical", BIG_BUILDERS)), F.lit(False)).alias("big_builder"), F.max(F.col("type") == "parcel").alias("has_parcel"))
     h = flags.join(trades, "cluster", "left").join(named, "cluster", "left").na.fill(0, ["trades", "developers", "subdivisions"]).na.fill(False, ["big_builder", "has_parcel"])
     size = case(
@@ -308,6 +312,38 @@ def hypotheses(atoms: DataFrame, entities: DataFrame, clusters: DataFrame, key:
         "hypothesis_id", F.concat(F.lit("hyp:"), X.hash31(F.col("cluster").cast("string")))).drop("_h")
 
 
+def hypothesis_values(atoms: DataFrame, entities: DataFrame, clusters: DataFrame, key: str = "key") -> DataFrame:
+    """(cluster, kind, value, first_key): developers, subdivisions, contractors, cities, counties, trades and members of every cluster.
+
+    Values are distinct; their order in a list is (first_key, value), the member that brought them first.
+    """
+    kinds = {"developer": "developer", "subdivision": "subdivision", "gc": "contractor"}
+    e = entities.filter(F.col("type").isin(*kinds)).select(key, case([(F.col("type") == k, v) for k, v in kinds.items()]).alias("kind"), F.col("canonical").alias("value"))
+    own = [atoms.select(key, F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in ("city", "county")]
+    own += [atoms.select(key, F.lit("trade").alias("kind"), F.explode("trades").alias("value")), atoms.select(key, F.lit("member").alias("kind"), F.col(key).cast("string").alias("value"))]
+    rows = reduce(lambda a, b: a.unionByName(b), [e, *own]).filter("value IS NOT NULL AND value <> ''")
+    return rows.join(clusters, key).groupBy("cluster", "kind", "value").agg(F.min(key).alias("first_key"))
+
+
+def hypothesis_reasons(hyps: DataFrame, values: DataFrame) -> DataFrame:
+    """(cluster, why): the reasons of each hypothesis, which name its first two developers and communities and first four trades."""
+    shown = {"developer": 2, "subdivision": 2, "trade": 4}
+    w = W.partitionBy("cluster", "kind").orderBy("first_key", "value")
+    first = values.filter(F.col("kind").isin(*shown)).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= case([(F.col("kind") == k, n) for k, n in shown.items()]))
+    named = lambda k: F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("_n", "value"))))["value"], ", ").alias(f"_{k}")
+    lists = first.groupBy("cluster").agg(*[named(k) for k in shown])
+    h = hyps.join(lists, "cluster", "left")
+    has = lambda k: F.coalesce(F.col(f"_{k}"), F.lit("")) != ""
+    why = labels_where([
+        (F.col("members") > 1, F.concat(F.col("members").cast("string"), F.lit(" linked public-record breadcrumbs reinforce the same package."))),
+        (has("developer"), F.concat(F.lit("Developer signal: "), "_developer", F.lit("."))),
+        (has("subdivision"), F.concat(F.lit("Subdivision / community cue: "), "_subdivision", F.lit("."))),
+        (has("trade"), F.concat(F.lit("Trade breadcrumbs: "), "_trade", F.lit("."))),
+        (F.col("package_size") == "development", "Looks like a housing / development package worth early pursuit."),
+    ])
+    return h.select("cluster", or_default(why, "Single-source signal with extractable entities.").alias("why"))
+
+
 # --- ER-08 -----------------------------------------------------------------------------------------
 def snapshot(atoms: DataFrame, hyps: DataFrame) -> DataFrame:
     rows = [df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("metric"), "value") for name, df in (("atoms", atoms), ("hypotheses", hyps))]

@@ -18,6 +18,9 @@ from plumbline.plans import vocab as V
 
 
 # CL-40
+OPENING_TYPES = ("Developer", "General Contractor")  # the only ones on the left of a relation
+
+
 def relation_type(from_type: ColumnOrName, to_type: ColumnOrName) -> Column:
     a, b = col(from_type), col(to_type)
     return case(
@@ -50,23 +53,30 @@ def project_pairs(facts: DataFrame) -> DataFrame:
     """
     members = facts.select("project_id", "company_id", "company_type").distinct()
     relation = relation_type("a_company_type", "b_company_type")
-    pairs = co_members(members, "project_id", "company_id", keep=relation.isNotNull())
+    pairs = co_members(members, "project_id", "company_id", keep=relation.isNotNull(), opens=F.col("company_type").isin(*OPENING_TYPES))
     return pairs.withColumn("relation", relation)
 
 
 # AG-15
+def relationship_projects(facts: DataFrame) -> DataFrame:
+    """(from_id, to_id, relation, project_id): the project list of every relation edge, as a long table."""
+    return project_pairs(facts).select(F.col("a_company_id").alias("from_id"), F.col("b_company_id").alias("to_id"), "relation", "project_id")
+
+
 def relationships(facts: DataFrame) -> DataFrame:
     """Relation edges: projects shared, trades seen, confidence min(.9, .35 + .15 n).
 
-    The trade set comes from a small vocabulary; the project list stays a long
-    table (the pairs), so no unbounded array is built.
+    Pairs are made once: a project's trades, from a small vocabulary, join as one
+    row and become flags, so counts and trades come from one partial aggregate.
+    The project list is the long table of :func:`relationship_projects`.
     """
-    pairs = project_pairs(facts).select("project_id", F.col("a_company_id").alias("from_id"), F.col("b_company_id").alias("to_id"), "relation")
-    counts = pairs.groupBy("from_id", "to_id", "relation").agg(F.count(F.lit(1)).alias("project_count"))
-    trades = facts.filter(F.col("trade").isin(V.BEHAVIOR_TRADES)).select("project_id", "trade").distinct()
-    seen = pairs.join(trades, "project_id").groupBy("from_id", "to_id", "relation").agg(F.array_sort(F.collect_set("trade")).alias("trades"))
+    trades = facts.filter(F.col("trade").isin(V.BEHAVIOR_TRADES)).groupBy("project_id").agg(F.collect_set("trade").alias("_trades"))
+    pairs = relationship_projects(facts).join(trades, "project_id", "left")
+    seen = {t: F.coalesce(F.max(F.array_contains("_trades", t)), F.lit(False)) for t in sorted(V.BEHAVIOR_TRADES)}
+    edges = pairs.groupBy("from_id", "to_id", "relation").agg(
+        F.count(F.lit(1)).alias("project_count"), F.array_compact(F.array(*[F.when(hit, t) for t, hit in seen.items()])).alias("trades"))
     conf = F.least(F.lit(0.9), R.round_half_up(F.lit(0.35) + F.col("project_count") * 0.15, 2))
-    return counts.join(seen, ["from_id", "to_id", "relation"], "left").withColumn("confidence", conf)
+    return edges.withColumn("confidence", conf)
 
 
 # AG-09
