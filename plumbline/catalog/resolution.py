@@ -122,7 +122,7 @@ def hypothesis_rows(t):
 
 
 VALUES_SQL = HYP_SQL + """, vals AS (SELECT cluster, kind, value, min(key) AS first_key FROM (
-  SELECT key, CASE type WHEN 'gc' THEN 'contractor' ELSE type END AS kind, norm AS value FROM ents WHERE type IN ('developer', 'subdivision', 'gc')
+  SELECT key, type AS kind, trim(value) AS value FROM raw WHERE type IN ('developer', 'subdivision') AND trim(coalesce(value, '')) <> ''
   UNION ALL SELECT seq, 'city', 'c' FROM planning UNION ALL SELECT seq, 'county', 'c' FROM planning UNION ALL SELECT seq, 'member', CAST(seq AS VARCHAR) FROM planning
   UNION ALL SELECT seq, 'trade', split_part(entitlement, ' ', 1) FROM planning WHERE entitlement <> '') JOIN lab USING (key) GROUP BY 1, 2, 3)"""
 
