@@ -151,7 +151,9 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, names: list[str], coverage:
     for n in range(1, steps + 1):
         near = rows.join(stats.select("start", "group", "mean", "w"), "group").withColumn("d2", _distance(names)).drop("mean", "w")
         limit = scratch.save(_grid_quantile(near, ["start", "group"], F.ln(F.col("d2") + 1e-3), coverage, 1 / 64), f"limit-{n}")
-        inner = rows.join(stats.select("start", "group", "mean", "w").join(limit, ["start", "group"]), "group").filter(F.ln(_distance(names) + 1e-3) < F.col("q"))
+        # written, so that its size is known and the rows of a hot group stay where they are
+        bounded = scratch.save(stats.select("start", "group", "mean", "w").join(limit, ["start", "group"]), f"bounded-{n}")
+        inner = rows.join(bounded, "group").filter(F.ln(_distance(names) + 1e-3) < F.col("q"))
         stats = scratch.save(_whitened(_moments(inner, ["start", "group"], names).drop("n"), d), f"mcd-{n}")
     best = stats.groupBy("group").agg(F.min_by(F.struct("mean", "s"), F.struct("log_det", "start")).alias("b")).select("group", "b.mean", "b.s")
     best = scratch.save(_whitened(best, d), "best")
