@@ -176,7 +176,7 @@ SELECT {k}, 'sac-app-' || CAST({k} AS STRING) AS id, application, project_name,
   {pick(k, CITIES)} || ', ' || {pick(third(k, 2), COUNTIES)} AS project_location,
   {pick(third(k, 4), ['Fencing', 'Roofing', 'Electrical, Solar', 'HVAC', 'Concrete, Site work', 'General', 'Plumbing', 'Landscaping'])} AS trade,
   {pick(third(k, 3), ['Unknown', None, 'Summit Homes LLC', 'Delta Development Partners', 'Kenwood Communities'])} AS developer,
-  {pick(third(k, 5), ['Unknown', 'Lund Construction Co', 'Sierra Builders', 'Ace Fence and Gates Inc', None, 'Valley Roofing'])} AS general_contractor,
+  {pick(third(k, 5), ['Unknown', 'Marl Construction Co', 'Sierra Builders', 'Ace Fence and Gates Inc', None, 'Valley Roofing'])} AS general_contractor,
   {pick(third(k, 6), ['Unknown', 'K Cook Architect', None])} AS architect,
   {pick(third(k, 2), ['Public bid through city portal', 'GC bid list', 'Developer trade partner program', 'Unknown', 'Permit follow-up'])} AS procurement_route,
   {pick(k, ['Register as vendor', 'Call estimating', 'Unknown'])} AS entry_method,

@@ -270,6 +270,7 @@ def cluster_records(records: DataFrame, all_keys: DataFrame, key: str = "key") -
 
 
 # --- ER-06: clusters to hypotheses -------------------------------------------------------------------
+# fixed values: cues that the size classes depend on
 BIG_BUILDERS = r"lennar|kb home|pulte|horton|meritage|taylor morrison"
 COMMERCIAL_CUES = r"\b(commercial|industrial|warehouse|school|public works|tenant improvement)\b"
 SMALL_CUES = r"\b(raise fence|side yard|patio|shed|repair)\b"

@@ -26,7 +26,7 @@ def trade_reasons(text: ColumnOrName, trade: ColumnOrName, inferred: Column | No
     return F.when((F.size(found) == 0) & (col(trade) != "General") & inferred, guess).otherwise(found)
 
 
-# SM-01
+# SM-01 (factor names, points and sentences are fixed values)
 def opportunity_score(horizon: ColumnOrName, status: ColumnOrName, size: ColumnOrName, trade: ColumnOrName, reasons: ColumnOrName, has_permit: Column,
                       has_source: Column, planning: Column, contractors: ColumnOrName) -> Column:
     """struct(score, factors) with one factor row per applying slot."""
@@ -53,7 +53,7 @@ def opportunity_score(horizon: ColumnOrName, status: ColumnOrName, size: ColumnO
     )
 
 
-# SM-02
+# SM-02 (factor names, points and sentences are fixed values)
 def fit_score(status: ColumnOrName, size: ColumnOrName, project_type: ColumnOrName, units: ColumnOrName, signals: Column, contractors: ColumnOrName) -> Column:
     st, sz, pt = col(status), col(size), col(project_type)
     has = lambda *k: F.coalesce(F.arrays_overlap(signals, F.array(*[F.lit(x) for x in k])), F.lit(False))

@@ -178,6 +178,7 @@ def visible_projects(df: DataFrame, state: str, evidence: str, floor: int = 0) -
 
 
 # CL-38
+# fixed values: sentences shown for a trade
 SCOPE_TEXTS = {
     # Trade -> ordered (label, pattern)
     "Concrete": [("Foundation / stemwall concrete", r"stem\s*wall|foundation|footing"), ("Flatwork", r"flatwork|sidewalk|curb|gutter"), ("Driveway concrete", "driveway"),

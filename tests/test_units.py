@@ -137,3 +137,25 @@ def test_weak_links_need_two(spark):
     assert cluster[1] != cluster[2]
     linked = 0.55 <= w("red green blue pink", "red green blue gold") < 0.78 and w("red green blue pink", "red green blue gold") >= 0.62
     assert (cluster[3] == cluster[4]) is linked
+
+
+def test_children_are_paged_not_cut(spark):
+    from plumbline.operators.relational import attach_children
+
+    parent = spark.createDataFrame([(1,), (2,)], "id int")
+    child = spark.createDataFrame([(1, i) for i in range(7)], "id int, n int")
+    rows = sorted(attach_children(parent, child, ["id"], ["n"], ["n"], "kids", page=3).collect(), key=lambda r: (r["id"], r["page"]))
+    assert [[k["n"] for k in r["kids"]] for r in rows if r["id"] == 1] == [[0, 1, 2], [3, 4, 5], [6]]
+    assert [(r["page"], r["kids"], r["kids_count"]) for r in rows if r["id"] == 2] == [(0, None, 0)]
+
+
+def test_trade_search_returns_only_rows_with_that_evidence(spark, sf):
+    from pyspark.sql import functions as F
+
+    from plumbline.catalog.base import Tables
+    from plumbline.catalog.packages import SEARCH_TEXT, search_rows
+    from plumbline.plans import packages as PK
+
+    found = PK.contractor_search(search_rows(Tables(spark, sf)), "roofing", SEARCH_TEXT, "seq")
+    bad = found.filter((F.col("search_trade") != "Roofing") | ~PK.has_trade_evidence("evidence_text", "trade", "Roofing"))
+    assert found.count() > 0 and bad.count() == 0
