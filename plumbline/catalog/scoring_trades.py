@@ -199,6 +199,15 @@ def _(t):
     return deciders(t).select("opportunity_id", "contact_seq", "priority")
 
 
+@query("wn06_all_decisions", DM + f""" SELECT o.id AS opportunity_id, d.contact_seq, coalesce(d.company, CASE WHEN {KNOWN('o.general_contractor')} THEN o.general_contractor WHEN {KNOWN('o.developer')} THEN o.developer END) AS company,
+  CASE WHEN d.contact_seq IS NOT NULL THEN d.confidence ELSE 0.2 END AS confidence, CASE WHEN d.contact_seq IS NOT NULL THEN 'contact' WHEN {KNOWN('o.general_contractor')} THEN 'General Contractor (no phone yet)' ELSE 'Unknown' END AS role
+FROM (SELECT id, developer, contractor AS general_contractor FROM {AC_SQL}) o LEFT JOIN d ON d.opportunity_id = o.id""")
+def _(t):
+    o = pathed(t).select(F.col("id").alias("opportunity_id"), "path_type", "developer", F.col("contractor").alias("general_contractor"), "source_url")
+    r = AC.all_decisions(t.contacts, o, "opportunity_id", "contact_seq")
+    return r.select("opportunity_id", "contact_seq", "company", "confidence", F.when(F.col("contact_seq").isNotNull(), "contact").otherwise(F.col("role")).alias("role"))
+
+
 @query("wn06_second_contact", DM + f""", r AS (SELECT p.*, {PM.replace('title', 'p.title').replace('name', 'p.name').replace('contact_type', 'p.contact_type')} AS pm FROM p JOIN d ON d.opportunity_id = p.opportunity_id
   WHERE NOT ({NK('p.company')} = {NK('d.company')} AND ((p.phone <> '' AND p.phone = d.phone) OR (p.name <> '' AND d.name <> '' AND {NK('p.name')} = {NK('d.name')}) OR (p.name = '' AND d.name = ''))))
 SELECT opportunity_id, contact_seq FROM r QUALIFY row_number() OVER (PARTITION BY opportunity_id ORDER BY CASE WHEN pm THEN 0 ELSE 1 END, rank DESC, confidence DESC, contact_seq) = 1""")

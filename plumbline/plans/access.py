@@ -171,6 +171,36 @@ def decision_makers(contacts: DataFrame, opps: DataFrame, key: str, seq: str) ->
     return best.withColumn("decision_role", role)
 
 
+def all_decisions(contacts: DataFrame, opps: DataFrame, key: str, seq: str, sites: DataFrame | None = None) -> DataFrame:
+    """One decision per opportunity, with or without a contact.
+
+    ``opps`` carries path_type, developer, general_contractor and source_url per key, ``sites`` (key, business_name,
+    business_phone, site_order) the businesses named on the site.  An owner-driven opportunity goes to its first site
+    business unless a project manager or estimator can be reached; without any contact the site business, the general
+    contractor or the developer is named (confidence 0.7 or 0.35 with or without a phone of the site business, else 0.2).
+    """
+    chosen = decision_makers(contacts, opps, key, seq).select(key, seq, "priority", F.col("company").alias("_company"), F.col("name").alias("_name"), F.col("phone").alias("_phone"), F.col("email").alias("_email"),
+                                                               F.col("confidence").alias("_confidence"), F.col("source").alias("_source"), F.col("decision_role").alias("_role"))
+    out = opps.select(key, "path_type", "developer", "general_contractor", "source_url").join(chosen, key, "left")
+    if sites is None:
+        out = out.withColumns({"business_name": F.lit(None).cast("string"), "business_phone": F.lit(None).cast("string")})
+    else:
+        out = out.join(first_per_key(sites, [key], ["site_order", "business_name"]).select(key, "business_name", "business_phone"), key, "left")
+    site = F.col("business_name").isNotNull() & (F.col("priority").isNull() | ((F.col("path_type") == "Owner-driven") & (F.col("priority") > 1)))
+    person = ~site & F.col("priority").isNotNull()
+    gc, developer = is_set("general_contractor"), is_set("developer")
+    named = case([(gc, F.col("general_contractor")), (developer, F.col("developer"))])
+    pick = lambda at_site, contact, none: F.when(site, at_site).when(person, contact).otherwise(none)
+    nothing = F.lit(None).cast("string")
+    company = pick(F.col("business_name"), F.col("_company"), named)
+    display = pick(F.col("business_name"), F.coalesce(F.nullif("_name", F.lit("")), "_company"), F.coalesce(named, F.lit("Unknown decision maker")))
+    role = pick(F.lit("Owner / Site Business"), F.col("_role"), F.when(gc, F.lit("General Contractor (no phone yet)")).otherwise(F.lit("Unknown")))
+    return out.select(
+        key, F.when(person, F.col(seq)).alias(seq), display.alias("display_name"), role.alias("role"), company.alias("company"), pick(F.col("business_phone"), F.col("_phone"), nothing).alias("phone"),
+        pick(nothing, F.col("_email"), nothing).alias("email"), pick(F.col("source_url"), F.col("_source"), F.col("source_url")).alias("source"),
+        pick(F.when(F.col("business_phone").isNotNull(), 0.7).otherwise(0.35), F.col("_confidence"), F.lit(0.2)).alias("confidence"))
+
+
 def second_contacts(contacts: DataFrame, chosen: DataFrame, key: str, seq: str) -> DataFrame:
     """Best remaining contact: not the chosen person or desk."""
     d = chosen.select(key, F.col("company").alias("_dc"), F.col("phone").alias("_dp"), F.col("name").alias("_dn"))
