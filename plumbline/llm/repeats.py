@@ -234,7 +234,7 @@ def _marks(slices: DataFrame, masks: DataFrame, length: int, buckets: int) -> Da
                 same = (s.ids[doc] == s.ids[doc[head]]) & (np.arange(len(at)) != head)
                 later = s.ids[doc] > s.ids[doc[head]]
                 out: list[tuple[int, int, bytes]] = []
-                home = int(row["slice"] % buckets)
+                home = int(mix(np.array([row["slice"]], _U))[0] % _U(buckets))  # slice ids are multiples of a power of two
                 if later.any():
                     out.append((home, 0, np.stack([at[later], bits_that_exist(left[later], right[later])]).astype(np.int64).tobytes()))
                 if same.any():
