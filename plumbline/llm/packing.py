@@ -82,11 +82,13 @@ class WordTokens:
         raw = [(t or "").encode() for t in texts]
         # the vocabulary is lower case; only texts that may hold a special token keep theirs
         split = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        words = set().union(*split)
-        missing = words - self.new.keys()
-        for word in missing & self.old.keys():  # what is still in use moves on
-            self.new[word] = self.old[word]
-        missing -= self.old.keys()
+        missing = set()
+        for word in set().union(*split):  # set differences with the remembered words would walk all of them
+            if word not in self.new:
+                if word in self.old:  # what is still in use moves on
+                    self.new[word] = self.old[word]
+                else:
+                    missing.add(word)
         if missing:
             self._learn(missing)
         out = [b"".join(map(self.new.__getitem__, words)) for words in split]
