@@ -6,6 +6,9 @@ to the ``coverage`` share of rows nearest to it, from two deterministic starts (
 absolute deviations), and the start with the smaller determinant wins.  A row is rejected when its squared Mahalanobis
 distance exceeds ``cutoff``.
 
+No group is taken to be narrower than ``FLOORS``.  Each floor lets its feature reach the cutoff alone.  The share of
+repeated lines rests on few lines in a short text, so its floor is the sampling noise of the row where that is larger.
+
 Scale: a step is two aggregates with partial sums over a narrow feature table, so a hot group is pre-aggregated by every
 task.  Quantiles are exact counts on a fixed grid, mergeable and independent of the order of rows.  All in DataFrame
 functions.
@@ -22,8 +25,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: feature -> smallest standard deviation that counts as a difference in writing
-FLOORS = {"word_length": 0.25, "symbols": 0.1, "dup_lines": 0.2, "repeats": 0.15, "upper": 0.05}
+#: feature -> smallest standard deviation that counts as a difference in writing; dup_lines is last, see ``_distance``
+FLOORS = {"word_length": 0.25, "symbols": 0.1, "repeats": 0.1, "upper": 0.05, "dup_lines": 0.1}
 #: median of a chi-square variable with one degree of freedom for each feature
 CHI2_MEDIAN = 4.3515
 
@@ -125,15 +128,26 @@ def _whitened(stats: DataFrame, d: int) -> DataFrame:
     return out.select(*stats.columns, w.alias("w"), log_det.alias("log_det"))
 
 
-def _distance(names: list[str]) -> Column:
-    """Squared Mahalanobis distance of the features in a row that carries mean and w."""
+def _line_noise() -> Column:
+    """Variance that the square root of a share of n_lines has by chance (1 / 4n), beyond the floor of dup_lines."""
+    return F.greatest(F.lit(0.0), 0.25 / F.greatest(F.col("n_lines"), F.lit(1)) - FLOORS["dup_lines"] ** 2)
+
+
+def _distance(names: list[str], last_noise: Column | None = None) -> Column:
+    """Squared Mahalanobis distance of the features in a row that carries mean and w.
+
+    ``last_noise`` is added to the variance of the last feature.  As w is lower triangular, only the last term shrinks.
+    """
     total, at = F.lit(0.0), 0
     for i in range(len(names)):
         part = F.lit(0.0)
         for j in range(i + 1):
             part = part + F.get("w", F.lit(at)) * (F.col(names[j]) - F.get("mean", F.lit(j)))
             at += 1
-        total = total + part * part
+        square = part * part
+        if last_noise is not None and i == len(names) - 1:
+            square = square / (1 + last_noise * F.pow(F.get("w", F.lit(at - 1)), 2))
+        total = total + square
     return total
 
 
@@ -190,7 +204,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     estimates = mcd_estimates(rows, scratch, names, coverage)
     enough = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows).select("group")
     known = scratch.save(groups.join(estimates.join(enough, "group"), "group").select("pair", "mean", "w"), "known")
-    judged = table.join(known, "pair", "left").withColumn("distance", _distance(names))
+    judged = table.join(known, "pair", "left").withColumn("distance", _distance(names, _line_noise()))
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"),

@@ -151,6 +151,23 @@ def test_quality_rules_reject_another_kind_of_text(spark):
     assert not any(v[0][1] for k, v in got.items() if k >= 1000)
 
 
+def test_quality_rules_reject_by_one_statistic_of_repetition(spark):
+    good = [(i, "\n".join(words(i * 100 + k, 8) for k in range(10 + i % 30))) for i in range(300)]
+    menu = [(1000 + i, "\n".join(x for k in range(30) for x in (words(90_000 + i * 100 + k, 8), "next page"))) for i in range(5)]
+    said = [(2000 + i, "\n".join([f"{words(i, 45)} {words(95_000 + i, 60)} {words(i, 45)}", *(words(97_000 + i * 100 + k, 8) for k in range(5))])) for i in range(5)]
+    # one line of four comes twice: too few lines to tell
+    short = [(3000 + i, "\n".join([*(words(99_000 + i * 10 + k, 25) for k in range(3)), "next page", "next page"])) for i in range(5)]
+    rows = {r["doc_id"]: r for r in quality_rules(docs(spark, good + menu + said + short)).collect()}
+    assert sum(r["kept"] for k, r in rows.items() if k < 1000) == 300
+    for k, r in rows.items():
+        if k >= 1000:
+            assert not r["base_failed"] and r["kept"] == (k >= 3000)
+        if 1000 <= k < 2000:
+            assert r["n_dup_lines"] == 29 and r["n_repeat_words"] == 0
+        if 2000 <= k < 3000:
+            assert r["n_dup_lines"] == 0 and r["n_repeat_words"] > 0
+
+
 def test_automata_know_formats():
     r = random.Random(4)
     token = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
