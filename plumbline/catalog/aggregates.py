@@ -249,10 +249,8 @@ def _(t):
 SELECT opportunity_id, string_agg(company, ', ' ORDER BY contact_seq) FILTER (role = 'Developer') AS developers, min_by(company, contact_seq) FILTER (role = 'Architect') AS architect
 FROM (SELECT *, row_number() OVER (PARTITION BY opportunity_id, role ORDER BY contact_seq) AS rn FROM contacts) WHERE rn <= 20 GROUP BY 1""")
 def _(t):
-    c = K.top_n_per_group(t.contacts, ["opportunity_id", "role"], ["contact_seq"], 20)
-    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "Developer", F.struct("contact_seq", "company")))), lambda s: s["company"])
     architect = F.min_by("company", F.when(F.col("role") == "Architect", F.col("contact_seq")))
-    return c.groupBy("opportunity_id").agg(F.nullif(F.array_join(names, ", "), F.lit("")).alias("developers"), architect.alias("architect"))
+    return t.contacts.groupBy("opportunity_id").agg(A.names_of_role("role", "company", "contact_seq", "Developer").alias("developers"), architect.alias("architect"))
 
 
 # --- windows and keyed merges ----------------------------------------------------------------

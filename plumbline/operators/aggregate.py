@@ -101,6 +101,13 @@ def role_coverage(df: DataFrame, project: str, role: str, company: str, seq: str
     return out.select(project, *[F.coalesce(F.col(f"`{r}`"), F.lit("Unknown")).alias(r) for r in roles])
 
 
+# AG-23
+def names_of_role(role: ColumnOrName, name: ColumnOrName, order: ColumnOrName, wanted: str) -> Column:
+    """Aggregate: all names of ``wanted`` in order, joined by commas; null without one."""
+    found = F.array_sort(F.collect_list(F.when(col(role) == wanted, F.struct(col(order).alias("o"), col(name).alias("n")))))
+    return F.nullif(F.array_join(F.transform(found, lambda s: s["n"]), ", "), F.lit(""))
+
+
 # AG-20
 def term_audit(df: DataFrame, text: ColumnOrName, terms: Sequence[str], row_id: str) -> DataFrame:
     """Per term: total occurrences, rows hit and the lowest row id hit.

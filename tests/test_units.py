@@ -159,3 +159,12 @@ def test_trade_search_returns_only_rows_with_that_evidence(spark, sf):
     found = PK.contractor_search(search_rows(Tables(spark, sf)), "roofing", SEARCH_TEXT, "seq")
     bad = found.filter((F.col("search_trade") != "Roofing") | ~PK.has_trade_evidence("evidence_text", "trade", "Roofing"))
     assert found.count() > 0 and bad.count() == 0
+
+
+def test_all_names_of_a_role(spark):
+    from plumbline.operators.aggregate import names_of_role
+
+    rows = [(1, "Developer", f"d{i}", i) for i in range(30)] + [(1, "Architect", "a", 40), (2, "Architect", "b", 1)]
+    contacts = spark.createDataFrame(rows, "opportunity_id int, role string, company string, contact_seq int")
+    got = {r[0]: r[1] for r in contacts.groupBy("opportunity_id").agg(names_of_role("role", "company", "contact_seq", "Developer")).collect()}
+    assert got == {1: ", ".join(f"d{i}" for i in range(30)), 2: None}
