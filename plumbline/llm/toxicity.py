@@ -1,11 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are words and the first bytes of longer words, hashed into ``buckets``.  A screen on the training rows keeps the
-terms that are associated with the label; the machine then learns a weight and a vector for each, so a pair of terms (an
-insult with the mention of a group) can add what neither has alone: score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>).
+Terms are words and the first bytes of longer words, hashed into ``buckets``.  The machine learns a weight and a vector
+for every bucket, without a screen by single terms, so a pair of terms (an insult with the mention of a group) can add
+what neither has alone: score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j).
 
-The fit uses at most ``sample`` labelled rows (those with the smallest hash of the id), reduced to at most ``terms``
-indexes each, on the driver; the model is a table of that size.  Scoring is one pass over all documents.
+Rows have length 1, so a long text is not louder than a short one.  Within a row, terms that are associated with the
+label alone are up to ``1 / LEAST`` times as large as neutral ones, which stay in.
+
+The fit uses at most ``sample`` labelled rows (those with the smallest hash of the id) as sparse rows on the driver; the
+model is a table of ``buckets``.  Scoring is one pass over all documents.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from plumbline.llm.labelled import fold, training_labels
 from plumbline.llm.scratch import Scratch
 
 PREFIX = 5
+#: size of a neutral term, and the deviations at which a term has size 1
+LEAST, FULL = 0.1, 8.0
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,48 +39,69 @@ def _terms(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndar
     return np.concatenate([words.doc, words.doc[long]]), (np.concatenate([words.hash, begin]) % np.uint64(buckets)).astype(np.int64)
 
 
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their index ``at``."""
+    return np.column_stack([np.bincount(at, x, n) for x in values.T])
+
+
 class FactorizationMachine:
-    """Second-order machine on binary features, fitted with Adam on log loss."""
+    """Second-order machine on sparse rows, fitted by stochastic gradient descent on log loss."""
 
     def __init__(self, size: int, rank: int = 8, seed: int = 7):
         self.bias = 0.0
+        self.scale = np.ones(size)
         self.w = np.zeros(size)
-        self.v = np.random.RandomState(seed).normal(0, 0.01, (size, rank))
+        self.v = np.random.RandomState(seed).normal(0, 0.1, (size, rank))
+
+    def _sizes(self, rows: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+        """Size of each term in its row, of which the squares add to 1."""
+        own = self.scale[terms]
+        return own / np.sqrt(np.bincount(rows, own * own, n))[rows]
 
     def raw(self, rows: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
         """Log odds of ``n`` rows whose features are the distinct pairs (rows, terms)."""
-        linear = np.bincount(rows, self.w[terms], n)
+        x = self._sizes(rows, terms, n)
+        linear = np.bincount(rows, self.w[terms] * x, n)
         both = np.zeros(n)
         for f in range(self.v.shape[1]):
-            x = self.v[terms, f]
-            both += np.bincount(rows, x, n) ** 2 - np.bincount(rows, x * x, n)
+            own = self.v[terms, f] * x
+            both += np.bincount(rows, own, n) ** 2 - np.bincount(rows, own * own, n)
         return self.bias + linear + 0.5 * both
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.02, l2: float = 1e-4) -> FactorizationMachine:
-        """``x`` is a dense 0/1 matrix of the bounded sample."""
-        rate_1 = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
-        self.bias = float(np.log(rate_1 / (1 - rate_1)))
-        if not len(y) or not x.shape[1]:
+    def fit(self, terms: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.1, l2: float = 1e-4) -> FactorizationMachine:
+        """Row i of the bounded sample has the distinct features terms[bounds[i]:bounds[i + 1]].
+
+        A step moves the features of its batch only, so its cost follows the batch and not the number of buckets.
+        """
+        mean = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
+        self.bias = float(np.log(mean / (1 - mean)))
+        if not len(terms):
             return self
-        rng, step = np.random.RandomState(11), 0
-        params = [np.array([self.bias]), self.w, self.v]
-        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+        sizes, n_buckets = np.diff(bounds), len(self.w)
+        # how far the positive rows of a term lie from their expectation, in standard deviations
+        n, p = np.bincount(terms, minlength=n_buckets), np.bincount(terms, np.repeat(y, sizes), n_buckets)
+        z = np.abs(p - n * mean) / np.sqrt(np.maximum(n, 1) * mean * (1 - mean))
+        self.scale = np.clip(np.where(n < 3, 0, z) / FULL, LEAST, 1)
+        rng = np.random.RandomState(11)
+        params = np.column_stack([self.w, self.v])  # weight, then vector
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for lo in range(0, len(y), batch):
                 at = order[lo : lo + batch]
-                a = x[at].astype(np.float64)
-                b, w, v = params
-                s = a @ v
-                raw = b[0] + a @ w + 0.5 * ((s * s).sum(1) - a @ (v * v).sum(1))
-                g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[at]) / len(at)
-                grads = [np.array([g.sum()]), a.T @ g + l2 * w, a.T @ (g[:, None] * s) - v * (a.T @ g)[:, None] + l2 * v]
-                step += 1
-                for p, grad, (m1, m2) in zip(params, grads, moments):
-                    m1 += 0.1 * (grad - m1)
-                    m2 += 0.001 * (grad * grad - m2)
-                    p -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-        self.bias = float(params[0][0])
+                n = sizes[at]
+                row = np.repeat(np.arange(len(at)), n)
+                own = terms[np.repeat(bounds[at] - (np.cumsum(n) - n), n) + np.arange(len(row))]
+                used, col = np.unique(own, return_inverse=True)
+                p, x = params[used], self._sizes(row, own, len(at))
+                moved = p[col] * x[:, None]
+                total = _sums(row, moved, len(at))
+                s = total[:, 1:]
+                raw = self.bias + total[:, 0] + 0.5 * ((s * s).sum(1) - np.bincount(row, (moved[:, 1:] ** 2).sum(1), len(at)))
+                g = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[at]
+                grad = _sums(col, np.column_stack([g, g[:, None] * s])[row] * x[:, None], len(used))
+                grad[:, 1:] -= p[:, 1:] * np.bincount(col, g[row] * x * x, len(used))[:, None]
+                params[used] = p - rate * (grad + l2 * p)
+        self.w, self.v = params[:, 0].copy(), params[:, 1:].copy()
         return self
 
 
@@ -94,53 +120,37 @@ def _sampled_terms(docs: DataFrame, chosen: DataFrame, buckets: int) -> DataFram
     return joined.select("id", "y", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType()))]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, label_col: str, folds: int, held_out: int, sample: int, buckets: int, terms: int) -> tuple[np.ndarray, FactorizationMachine]:
-    """(feature of each bucket or -1, machine)."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch, label_col: str, folds: int, held_out: int, sample: int, buckets: int) -> FactorizationMachine:
     chosen = training_labels(labels, scratch, label_col, folds, held_out, sample)
     rows = scratch.save(_sampled_terms(docs, chosen, buckets), "training-terms")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
-    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
-    # how far the positive rows of a term lie from their expectation, in standard deviations
-    rate = total["p"] / total["n"] if total["n"] else 0.5
-    z = (F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * max(rate * (1 - rate), 1e-6))
-    screened = counts.filter("n >= 3").withColumn("z", F.abs(z)).filter("z >= 3.5").orderBy(F.desc("z"), "term").limit(terms)
-    kept = [r["term"] for r in screened.select("term").collect()]  # at most ``terms``
-    index = np.full(buckets, -1, np.int32)
-    index[kept] = np.arange(len(kept))
-    table = spark_literal(rows.sparkSession, kept)
-    active = rows.select("id", "y", F.explode_outer("terms").alias("term")).join(F.broadcast(table), "term", "left").groupBy("id").agg(F.max("y").alias("y"), F.collect_list("at").alias("at"))
-    x, y = np.zeros((total["n"], len(kept)), np.uint8), np.zeros(total["n"])
-    for i, r in enumerate(active.orderBy(F.xxhash64("id"), "id").collect()):  # at most ``sample`` rows of at most ``terms``
-        x[i, r["at"]] = 1
-        y[i] = r["y"]
-    return index, FactorizationMachine(len(kept)).fit(x, y)
-
-
-def spark_literal(spark, kept: list[int]) -> DataFrame:
-    """(term, at) of the screened terms, at most as many as the screen keeps."""
-    return spark.createDataFrame([(t, i) for i, t in enumerate(kept)], "term int, at int")
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = 12_000, buckets: int = 1 << 18, terms: int = 2048) -> DataFrame:
+    table = rows.orderBy(F.xxhash64("id"), "id").select("y", "terms").toArrow()  # at most ``sample`` rows of at most ``buckets``
+    y = table["y"].to_numpy().astype(float)
+    terms = table["terms"].combine_chunks()
+    terms = pa.concat_arrays(terms.chunks) if isinstance(terms, pa.ChunkedArray) else terms
+    return FactorizationMachine(buckets).fit(terms.flatten().to_numpy(), np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy())]).astype(np.int64), y)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = 12_000, buckets: int = 1 << 18) -> DataFrame:
     """Probability that a document is toxic.
 
     Returns ``id_col``, held_out and score (0 to 1), a row for each input row, rows that repeat an id included.  Null and
-    empty texts, and texts without a screened term, get the score of the bias.  Labels that are null, have no id or no
+    empty texts get the score of the bias.  Labels that are null, have no id or no
     document are not used; without any usable label every score is 0.5.  A row without id is not held out.  Labels are
     ``doc_id`` and ``label_col``; other columns of either table are not read.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    index, machine = fit_toxicity(base, labels, scratch, label_col, folds, held_out, sample, buckets, terms)
+    machine = fit_toxicity(base, labels, scratch, label_col, folds, held_out, sample, buckets)
+    model = base.sparkSession.sparkContext.broadcast((machine.bias, *(x.astype(np.float32) for x in (machine.scale, machine.w, machine.v))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = max(1, len(machine.w))
+        machine = FactorizationMachine(0)
+        machine.bias, machine.scale, machine.w, machine.v = model.value
         for batch in batches:
             for first, last, data, offsets in text_slices(batch.column("text")):
                 doc, term = _terms(data, offsets, buckets)
-                at = index[term]
-                key = np.unique(doc[at >= 0] * size + at[at >= 0])
-                raw = machine.raw(key // size, key % size, last - first)
+                key = np.unique(doc * buckets + term)
+                raw = machine.raw(key // buckets, key % buckets, last - first)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))], ["id", "score"])
 
     scored = base.mapInArrow(run, T.StructType([base.schema["id"], T.StructField("score", T.DoubleType())]))

@@ -168,6 +168,21 @@ def test_quality_rules_reject_by_one_statistic_of_repetition(spark):
             assert r["n_dup_lines"] == 0 and r["n_repeat_words"] > 0
 
 
+def test_toxicity_learns_a_pair_of_neutral_terms(spark):
+    r = random.Random(6)
+    rows, marks = [], []
+    for i in range(2400):
+        # each term is in half of the toxic and half of the clean texts; both or none are toxic
+        one, two = r.random() < 0.5, r.random() < 0.5
+        body = [r.choice(words(1, 300).split()) if k < 2 else f"w{r.randint(0, 60)}" for k in range(12)] + ["mild"] * one + ["group"] * two
+        r.shuffle(body)
+        rows.append((i, " ".join(body)))
+        marks.append((i, 0, int(one == two), ""))
+    scored = toxicity(docs(spark, rows), labels(spark, marks)).collect()
+    held = [(x["score"] >= 0.5) == marks[x["doc_id"]][2] for x in scored if x["held_out"]]
+    assert sum(held) >= 0.9 * len(held) > 0
+
+
 def test_automata_know_formats():
     r = random.Random(4)
     token = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
