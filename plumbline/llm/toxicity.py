@@ -75,6 +75,7 @@ class FactorizationMachine:
         """
         mean = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
         self.bias = float(np.log(mean / (1 - mean)))
+        self.v[np.bincount(terms, minlength=len(self.w)) == 0] = 0  # terms without a training row add nothing
         if not len(terms):
             return self
         sizes, n_buckets = np.diff(bounds), len(self.w)

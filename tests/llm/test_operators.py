@@ -181,6 +181,7 @@ def test_toxicity_learns_a_pair_of_neutral_terms(spark):
     scored = toxicity(docs(spark, rows), labels(spark, marks)).collect()
     held = [(x["score"] >= 0.5) == marks[x["doc_id"]][2] for x in scored if x["held_out"]]
     assert sum(held) >= 0.9 * len(held) > 0
+    assert {x["score"] for x in toxicity(docs(spark, rows[:20]), labels(spark)).collect()} == {0.5}
 
 
 def test_automata_know_formats():
