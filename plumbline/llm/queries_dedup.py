@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.radix_dedup import exact_duplicates
 from plumbline.llm.registry import query, table
 from plumbline.llm.repeats import remove_repeats
 
@@ -127,3 +128,15 @@ def op6(spark, sf_dir):
     left = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+WINDOW w AS (PARTITION BY t)
+"""
+
+
+@query("op13_exact_dedup", OP13_SQL)
+def op13(spark, sf_dir):
+    return exact_duplicates(table(spark, sf_dir, "documents"))
