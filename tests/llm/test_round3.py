@@ -2,10 +2,16 @@
 
 import hashlib
 import random
+import re
+import zlib
 from collections import defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline.llm.periodic import periodic_runs, runs_of
 from plumbline.llm.radix_dedup import exact_duplicates
 
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -29,3 +35,78 @@ def test_exact_duplicates_by_brute_force(spark):
         assert len(kept) == len(groups) and all(x["doc_id"] == x["keep_id"] and x["rest"] == "r" for x in kept)
         assert {(x["text"] or "").translate(UPPER) for x in kept} == set(groups)
     assert exact_duplicates(docs.limit(0)).count() == 0
+
+
+def brute_runs(w, least=24, times=3):
+    """(start, length, smallest period) by looking at every lag."""
+    x = np.unique(np.array(w, dtype=object).astype(str), return_inverse=True)[1] if w else np.zeros(0, int)
+    out = {}
+    for p in range(1, len(w) // times + 1):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (x[:-p] == x[p:]).astype(int), [0]])))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a + p >= max(least, times * p):
+                out.setdefault((a, b - a + p), p)
+    return sorted((a, n, p) for (a, n), p in out.items())
+
+
+def repetitive(r):
+    """Words with runs inside of runs."""
+    k, out = r.randint(1, 6), []
+    while len(out) < r.choice([10, 60, 300, 700]):
+        t = r.random()
+        if t < 0.3:
+            out += [r.randint(0, k) for _ in range(r.randint(1, 40))]
+        elif t < 0.6 and out:
+            out += (out[-r.randint(1, min(len(out), 150)) :] * r.randint(1, 5))[: r.randint(1, 500)]
+        elif t < 0.8:
+            out += [r.randint(0, k) for _ in range(r.randint(1, 5))] * r.randint(1, 12)
+        else:
+            out += [r.randint(100, 10**6) for _ in range(r.randint(1, 90))]
+    return (out * r.randint(2, 4))[: r.randint(1, 4 * len(out))] if r.random() < 0.3 else out
+
+
+@pytest.mark.parametrize("least", [1, 24])
+def test_runs_by_brute_force(least):
+    r = random.Random(least)
+    for _ in range(120):
+        docs = [repetitive(r) if r.random() > 0.1 else [] for _ in range(r.randint(1, 6))]
+        hashes = np.array([x for d in docs for x in d], dtype=np.uint64)
+        got = runs_of(hashes, np.concatenate([[0], np.cumsum([len(d) for d in docs])]), least, 3)
+        assert [[tuple(x) for x in rows.tolist()] for rows in got] == [brute_runs(d, least) for d in docs]
+
+
+def test_runs_where_prefix_hashes_collide():
+    """Thue-Morse words collide under any polynomial modulo 2^64; the words decide."""
+    tm = [bin(i).count("1") % 2 for i in range(4096)]
+    words = [*tm, *[1 - x for x in tm], *tm, 7, *[5, 6] * 30]
+    got = runs_of(np.array(words, dtype=np.uint64), np.array([0, len(words)]), 24, 3)
+    assert [tuple(x) for x in got[0].tolist()] == brute_runs(words)
+
+
+def test_periodic_runs_query_by_brute_force(spark, sf):
+    from plumbline.llm.queries_text import op12
+
+    want = {}
+    for row in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", row["text"] or "")
+        n, h = len(w), zlib.crc32(str(row["doc_id"]).encode())
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        runs = brute_runs(w)
+        best = max(runs, key=lambda x: (Fraction(x[1], x[2]), -x[0], -x[2]), default=None)
+        dropped = {i for a, m, p in runs for i in range(a + p, a + m)}
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want[row["doc_id"]] = (len(runs), *(best or (None,) * 3), best and 1000 * best[1] // best[2], sha("".join(f"{a},{m},{p}\n" for a, m, p in runs)), sha(" ".join(x for i, x in enumerate(w) if i not in dropped)))
+    got = {r["doc_id"]: tuple(r)[1:] for r in op12(spark, sf).collect()}
+    assert got == want and any(v[0] > 0 and v[3] > 16 for v in want.values())
+
+
+def test_periodic_runs_edge_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "a b " * 12), (5, "x " * 24), (None, "q " * 23), (7, "ä " * 30_000)]
+    docs = spark.createDataFrame([(k, t, "r", 2) for k, t in rows], "doc_id long, text string, runs string, id int")
+    got = sorted(((r["doc_id"], r["n_words"], [tuple(x) for x in r["runs"]], r["collapsed"], r["runs2"]) for r in periodic_runs(docs.withColumn("runs2", F.lit(9)), carry=["runs2"]).collect()), key=str)
+    assert got == sorted([(1, 0, [], "", 9), (2, 0, [], "", 9), (3, 0, [], "", 9), (4, 1, [], "one", 9), (5, 24, [(0, 24, 2)], "a b", 9), (5, 24, [(0, 24, 1)], "x", 9), (None, 23, [], " ".join("q" * 23), 9), (7, 30_000, [(0, 30_000, 1)], "ä", 9)], key=str)
+    assert periodic_runs(docs.limit(0)).count() == 0
