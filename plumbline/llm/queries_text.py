@@ -1,10 +1,11 @@
-"""Queries on words inside texts: periodic runs."""
+"""Queries on words inside texts: collocations and periodic runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.collocations import collocations
 from plumbline.llm.periodic import periodic_runs
 from plumbline.llm.registry import query, table
 
@@ -36,3 +37,45 @@ def op12(spark, sf_dir):
         F.sha2(written, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM words, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k
+), f AS MATERIALIZED (
+  SELECT lang, phrase, count(*) AS n, any_value(k) AS k FROM grams GROUP BY lang, phrase
+), totals AS (
+  SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1 AND n >= 10
+), cuts AS MATERIALIZED (
+  SELECT lang, phrase, a, size, 1 AS cut, w[1] AS first_part, array_to_string(w[2 :], ' ') AS rest FROM candidates
+  UNION ALL SELECT lang, phrase, a, size, 2, array_to_string(w[1 : 2], ' '), w[3] FROM candidates WHERE size = 3
+), lefts AS MATERIALIZED (
+  SELECT c.*, x.n AS l FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first_part
+), parts AS (
+  SELECT c.*, y.n AS r FROM lefts c JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+), scored AS (
+  SELECT lang, phrase, a, size, cut AS k, l, r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM parts
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase, size ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(w[1 : 2], ' ') AS phrase, a FROM candidates WHERE size = 3 UNION ALL SELECT lang, array_to_string(w[2 : 3], ' '), a FROM candidates WHERE size = 3)
+  GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN longer g ON s.size = 2 AND g.lang = s.lang AND g.phrase = s.phrase WHERE NOT coalesce(100 * g.a >= 50 * s.a, false)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, k, CAST(n AS BIGINT) AS n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))

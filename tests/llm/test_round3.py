@@ -8,9 +8,11 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.llm.collocations import Transducer, collocations
 from plumbline.llm.periodic import periodic_runs, runs_of
 from plumbline.llm.radix_dedup import exact_duplicates
 
@@ -110,3 +112,57 @@ def test_periodic_runs_edge_rows(spark):
     got = sorted(((r["doc_id"], r["n_words"], [tuple(x) for x in r["runs"]], r["collapsed"], r["runs2"]) for r in periodic_runs(docs.withColumn("runs2", F.lit(9)), carry=["runs2"]).collect()), key=str)
     assert got == sorted([(1, 0, [], "", 9), (2, 0, [], "", 9), (3, 0, [], "", 9), (4, 1, [], "one", 9), (5, 24, [(0, 24, 2)], "a b", 9), (5, 24, [(0, 24, 1)], "x", 9), (None, 23, [], " ".join("q" * 23), 9), (7, 30_000, [(0, 30_000, 1)], "ä", 9)], key=str)
     assert periodic_runs(docs.limit(0)).count() == 0
+
+
+def test_collocations_by_brute_force(spark):
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(12)] + ["New", "York", "\x01x", "é", "a-b"]
+
+    def text():
+        return "".join(r.choice(vocab) + r.choice([" ", " ", " ", "  ", "\t", ", ", ".\n", "\r\n"]) for _ in range(r.randint(0, 80)))
+
+    rows = [(i, r.choice(["en", "de", None, "und"]), text()) for i in range(150)] + [(1, "en", None), (2, None, ""), (3, "xx", "only once"), (None, "en", "new york " * 40)]
+    docs = spark.createDataFrame([(k, g, t, 1, 2) for k, g, t in rows], "doc_id long, lang string, text string, rank int, phrase int")
+    counts, totals = defaultdict(int), defaultdict(int)
+    for _, lang, t in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(UPPER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or "und"] += len(w)
+            for k in (1, 2, 3, 4):
+                for i in range(len(w) - k + 1):
+                    counts[lang or "und", tuple(w[i : i + k])] += 1
+    for size in (3, 4):
+        candidates = {key: a for key, a in counts.items() if 2 <= len(key[1]) <= size and a >= 10}
+        rated = defaultdict(list)
+        for (lang, w), a in candidates.items():
+            inside = [b for (g, v), b in candidates.items() if g == lang and len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v) - len(w) + 1))]
+            if all(100 * b < 50 * a for b in inside):
+                cuts = [(10**6 * a * a // (counts[lang, w[:k]] * counts[lang, w[k:]]), k, counts[lang, w[:k]], counts[lang, w[k:]]) for k in range(1, len(w))]
+                rated[lang].append((min(cuts), a, " ".join(w)))
+        want = set()
+        for lang, found in rated.items():
+            found.sort(key=lambda x: (-x[0][0], -x[1], x[2].encode()))
+            want |= {(lang, i + 1, p, a, c[2], c[3], c[1], totals[lang], c[0]) for i, (c, a, p) in enumerate(found[:40])}
+        got = collocations(docs, max_words=size, top=40, range_bytes=500).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+    assert collocations(docs.limit(0)).count() == 0
+
+
+def test_transducers_keep_their_weights():
+    words = pa.array([b"a", b"b", b"c"], pa.binary())
+    paths = [(np.array([[0, 1]]), np.array([5, 1 << 40])), (np.array([[0, 0, 1], [1, 2, 1], [2, 2, 0]]), np.array([1, 1, 1 << 35]))]
+    t = Transducer.of_sequences(words, paths, 3, np.add)
+    for u in (Transducer.from_bytes(t.to_bytes()), Transducer.union([t]), Transducer.union([p for _, p in t.pieces(7)])):
+        for m, w in paths:
+            assert u.lookup(words, m).tolist() == w.tolist()
+    assert Transducer.union([t, t]).lookup(words, paths[0][0]).tolist() == [10, 1 << 41]
+    assert t.lookup(pa.array([b"z", b"a"], pa.binary()), np.array([[1, 0]])).tolist() == [5, 0]
+
+
+def test_round_three_queries_match_sql(spark, con, sf):
+    from harness import compare
+
+    from plumbline.llm.queries import ORACLES, QUERIES
+
+    for name in ("op11_collocations", "op13_exact_dedup"):
+        assert compare(QUERIES[name](spark, sf), con, ORACLES[name]) is None
