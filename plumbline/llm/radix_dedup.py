@@ -30,7 +30,7 @@ def _numbered(split: DataFrame, groups: DataFrame, limit: float, plain: list[str
     small = groups.filter(F.col("size") <= limit).select(F.col("grp").alias("dealt"), "digit", F.struct("size", "top", "ended", "next").alias("small"))
     found = split.join(F.broadcast(big), ["grp", "digit"], "left")  # at most 1 / hot_share groups
     found = found.withColumn("dealt", F.when(F.col("big").isNull(), F.col("grp")).otherwise(-1 - F.col("row")))
-    found = found.join(small, ["dealt", "digit"], "left").withColumn("g", F.coalesce("big", "small"))
+    found = found.join(small.hint("merge"), ["dealt", "digit"], "left").withColumn("g", F.coalesce("big", "small"))
     alone, going = F.col("g").isNull(), F.coalesce(~F.col("g.ended"), F.lit(False))
     return found.select(
         *plain,
