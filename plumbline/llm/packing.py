@@ -11,6 +11,7 @@ count rises and the round is packed again.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -65,7 +66,8 @@ class WordTokens:
         for raw in missing:
             word = raw.decode()
             core = word.rstrip(TAILS)
-            if core.isalpha():
+            # lower-casing can leave a combining mark, which belongs to the tail's run: only letters that stay letters are split
+            if unicodedata.normalize("NFC", core).lower().isalpha():
                 cores[raw] = core, word[len(core) :]
             else:
                 self.new[raw] = self._one(word)
