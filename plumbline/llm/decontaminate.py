@@ -48,8 +48,8 @@ def _runs(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _items(benchmark: DataFrame, k: int, window: int) -> DataFrame:
-    """(item, width, windows, prints) of items that have words."""
-    schema = T.StructType([benchmark.schema["item"], T.StructField("width", T.IntegerType()), T.StructField("windows", T.ArrayType(T.LongType())), T.StructField("prints", T.ArrayType(T.LongType()))])
+    """(key, item, width, windows, prints) of items that have words."""
+    schema = T.StructType([benchmark.schema["key"], benchmark.schema["item"], T.StructField("width", T.IntegerType()), T.StructField("windows", T.ArrayType(T.LongType())), T.StructField("prints", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -62,9 +62,9 @@ def _items(benchmark: DataFrame, k: int, window: int) -> DataFrame:
                     prints = windows if width < window else winnow(words, k, window)[0]
                     rows.append((first, width, np.unique(windows).view(np.int64).tolist(), np.unique(prints).view(np.int64).tolist()))
             at, widths, windows, prints = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(at, pa.int64())), pa.array(widths, pa.int32()), pa.array(windows, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))], ["item", "width", "windows", "prints"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("key", "item")), pa.array(widths, pa.int32()), pa.array(windows, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))], ["key", "item", "width", "windows", "prints"])
 
-    return benchmark.select("item", "text").mapInArrow(run, schema)
+    return benchmark.select("key", "item", "text").mapInArrow(run, schema)
 
 
 def _prints(docs: DataFrame, k: int, window: int, short: list[int]) -> DataFrame:
@@ -100,7 +100,7 @@ def _extended(joined: DataFrame, kept: list[str]) -> DataFrame:
             np.add.at(covered, at, 1)
             np.add.at(covered, at + width, -1)
             there = set(own[at].view(np.int64).tolist())
-            matched += [x["item"] for x in mine if not there.isdisjoint(x["windows"])]
+            matched += [x["item"] for x in mine if x["item"] is not None and not there.isdisjoint(x["windows"])]
         inside = np.concatenate([[False], np.cumsum(covered) > 0, [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])], sorted(set(matched), key=str)
@@ -127,17 +127,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Returns ``id_col``, n_words, spans (array of (start, end) in words, merged, end exclusive), items (distinct ids of the
     items that occur), a row for each input row.  Words are runs of a-z, 0-9 and characters beyond ASCII, A-Z
     lower-cased.  Null and empty texts have no words; items without words match nothing, and rows of one item id count as
-    one item.  Every row is checked on its own text, also rows that repeat an id or have none.  An empty benchmark leaves
+    one item.  An item without id marks spans like others and is not among the items.  Every row is checked on its own text, also rows that repeat an id or have none.  An empty benchmark leaves
     all documents clean.  The columns named in ``carry`` come back unchanged, others are not read.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     carried = [f"_carry{i}" for i in range(len(carry))]
-    items = scratch.save(_items(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), k, window).filter("item IS NOT NULL"), "items")
-    prints = scratch.save(items.select("item", F.explode("prints").alias("print")).distinct(), "prints")
+    named = F.coalesce(F.concat(F.lit("="), F.col(item_col).cast("string")), F.lit("none")).alias("key")
+    items = scratch.save(_items(benchmark.select(named, F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), k, window), "items")
+    prints = scratch.save(items.select("key", F.explode("prints").alias("print")).distinct(), "prints")
     short = sorted(r["width"] for r in items.filter(F.col("width") < window).select("width").distinct().collect())  # below ``window`` values
-    hits = scratch.save(_prints(base, k, window, short).join(prints, "print").select("id", "item").distinct(), "hits")
-    found = hits.join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "width", "windows")).alias("found"))
+    hits = scratch.save(_prints(base, k, window, short).join(prints, "print").select("id", "key").distinct(), "hits")
+    found = hits.join(items, "key").groupBy("id").agg(F.collect_list(F.struct("item", "width", "windows")).alias("found"))
     found = scratch.save(found.withColumnRenamed("id", "found_id"), "found")
     # a merge join at every size: texts are shuffled once, however many documents are hit
     out = _extended(base.hint("merge").join(found, F.col("id").eqNullSafe(F.col("found_id")), "left"), ["id", *carried])
