@@ -19,15 +19,9 @@ from plumbline.llm.registry import ship
 from plumbline.llm.scratch import Scratch
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is in ``ids``, a missing id included."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return _only(docs, quality_rules(docs).filter("kept"))
+    """Documents that the quality rules reject go; a row's own verdict counts, also where ids repeat."""
+    return quality_rules(docs, carry=[c for c in docs.columns if c != "doc_id"]).filter("kept").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +33,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id, once."""
-    return _only(docs, near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
+    """One document of each group of near copies stays: the one with the smallest id, once.
+
+    A document is an id with its text, so rows that share an id and differ in text are told apart.  Shingles are of two
+    words, as in ``op9_minhash_near_dedup``: five words would miss copies in which every tenth word differs.
+    """
+    own = F.struct(F.col("doc_id"), F.xxhash64("text").alias("own"))
+    keyed = docs.select("*", own.alias("_document"))
+    kept = near_duplicates(keyed, id_col="_document", shingle=2).filter("kept").select(F.col("_document.doc_id").alias("_id"), F.col("_document.own").alias("_own")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_own"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,12 +120,12 @@ def _cross_links(rows: DataFrame, shingle: int, percent: int, block: int) -> Dat
     blocks = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "id", "label", "text")
+    dealt = dealt.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "id", F.xxhash64("label").alias("label"), "text")
     id_type = rows.schema["id"].dataType
 
     def compare(table: pa.Table) -> pa.Table:
         data_type = table.schema.field("id").type
-        _, label = np.unique(np.array(table.column("label").to_pylist()), return_inverse=True)
+        _, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
         found: tuple[list, list] = ([], [])
         if label.max(initial=0) > 0:
             names = table.column("id")
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns ``id_col``, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable), kept
     (id is component_id), a row for each input row.  Words are runs without ASCII white space, A-Z lower-cased.  Null
     and empty texts have no shingles and are linked with nothing.  Rows that repeat an id are one document, whose text
-    must be the same; a row without id is linked with nothing, has null ids and is kept.  Other columns are not read.
+    must be the same (else pass a struct of the id and a hash of the text as id); a row without id is linked with nothing, has null ids and is kept.  Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")

@@ -16,6 +16,8 @@ functions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,19 +179,20 @@ def mcd_estimates(rows: DataFrame, scratch: Scratch, names: list[str], coverage:
     return scratch.save(best.join(typical, "group").select("group", "mean", F.transform("w", lambda x: x / F.sqrt(scale)).alias("w")), "estimates")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_rows: int = 100, coverage: float = 0.75, cutoff: float = 35.0) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_rows: int = 100, coverage: float = 0.75, cutoff: float = 35.0, carry: Sequence[str] = ()) -> DataFrame:
     """Verdict of the quality rules for every document.
 
     Returns ``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance (squared
     Mahalanobis, null where there is no estimate) and kept, a row for each input row.  Null and empty texts have no words
     and fail.  A null language or source is a group like others.  Groups of fewer than ``min_rows`` rows that pass the
     base rules share the estimate of their language's small groups, and if these are too few, of all such; where even
-    those are fewer, rows that pass the base rules are kept.  Rows that repeat an id are judged each.  Other columns are
-    not read.  The default ``cutoff`` lies far in the tail of normal rows (chi-square, 5 degrees: 2e-6), so that
+    those are fewer, rows that pass the base rules are kept.  Rows that repeat an id are judged each, by their own text.  The
+    columns named in ``carry`` come back unchanged, others are not read.  The default ``cutoff`` lies far in the tail of normal rows (chi-square, 5 degrees: 2e-6), so that
     only texts of another kind go.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.to_json(F.struct(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))).alias("pair"), F.to_json(F.struct(F.col(lang_col).alias("lang"))).alias("lang_only"))
+    carried = [f"_carry{i}" for i in range(len(carry))]
+    base = docs.select(*[F.col(c).alias(x) for c, x in zip(carry, carried)], F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.to_json(F.struct(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))).alias("pair"), F.to_json(F.struct(F.col(lang_col).alias("lang"))).alias("lang_only"))
     counted = text_statistics(base, "text", min_words, max_repeat_percent).drop("text")
     names = list(FLOORS)
     table = scratch.save(counted.select("*", *[v.alias(k) for k, v in features().items()]), "statistics")
@@ -208,4 +211,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"),
+        *[F.col(x).alias(c) for x, c in zip(carried, carry)],
     )
