@@ -7,7 +7,7 @@ range are united and their weights summed.  Sequences below the threshold are th
 can be rarer than the candidate.  Part lookups are compositions: a range sends a transducer of the parts its candidates need
 to the ranges that count them, which send it back with the counts as weights.  A part is asked for once by each range.
 
-Scale: the number of ranges follows the bytes of the texts, so a range stays at a few megabytes of text whatever the corpus.
+Scale: the number of ranges follows the bytes of the texts, so a range stays at some megabytes of text whatever the corpus.
 The ranking cuts each language to its first rows before the shuffle.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.bytewords import LOWER, mix, prefix_sums, run_hash, text_slices
 from plumbline.llm.scratch import Scratch
 
-SHARD_BYTES = 8 << 20
-RANGE_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+RANGE_BYTES = 16 << 20
 
 _U = np.uint64
 _BREAK = np.zeros(256, bool)  # ends a piece
@@ -47,6 +47,13 @@ def _grouped(keys: np.ndarray, values: np.ndarray, combine: np.ufunc) -> tuple[n
     return sorted_keys[at], combine.reduceat(values[order], at) if len(at) else values[:0], place
 
 
+def _laid_out(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the words, end to end."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    blob = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return blob, offsets - offsets[0]
+
+
 def _write(arrays: list[np.ndarray]) -> bytes:
     """Non-negative integer arrays, each in the narrowest width that holds it."""
     out = [np.array([len(arrays)], "<u8").tobytes()]
@@ -81,9 +88,8 @@ class Transducer:
         return self.source[d] << 32 | self.label[d]
 
     def to_bytes(self) -> bytes:
-        lengths = np.asarray(pc.binary_length(self.words)).astype(np.int64)
-        blob = np.frombuffer(b"".join(self.words.to_pylist()), np.uint8)
-        arrays = [np.array([self.depth]), lengths, blob, self.label[0], self.weight[0]]
+        blob, offsets = _laid_out(self.words)
+        arrays = [np.array([self.depth]), np.diff(offsets), blob, self.label[0], self.weight[0]]
         for d in range(1, self.depth):
             fan = np.bincount(self.source[d], minlength=len(self.label[d - 1]))
             if d < self.depth - 1:
@@ -204,9 +210,8 @@ class Transducer:
 
     def ranges(self, n: int) -> list[np.ndarray]:
         """The range of every sequence: by its first two words, in the order of their hashes."""
-        blob = np.frombuffer(b"".join(self.words.to_pylist()), np.uint8)
-        ends = np.cumsum(np.asarray(pc.binary_length(self.words)).astype(np.int64))
-        h = run_hash(prefix_sums(blob), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+        blob, offsets = _laid_out(self.words)
+        h = run_hash(prefix_sums(blob), offsets[:-1], offsets[1:])
         place = lambda x: ((mix(x) >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
         out = [place(h[self.label[0]])]
         for d in range(1, self.depth):
@@ -317,7 +322,7 @@ def _decoded(table: pa.Table, column: str) -> list[Transducer]:
     return [Transducer.from_bytes(x.as_py()) for x in table.column(column)]
 
 
-def _united(shards: DataFrame, least: int) -> DataFrame:
+def _united(shards: DataFrame, least: int, n_ranges: int) -> DataFrame:
     """(lang, range, words, counts): weights of all shards summed, sequences below ``least`` cut off."""
 
     def run(key, rows):
@@ -325,7 +330,8 @@ def _united(shards: DataFrame, least: int) -> DataFrame:
         frequent = total.restricted([w >= least for w in total.weight])
         return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "range": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([int(total.weight[0].sum())]), "counts": pa.array([frequent.to_bytes()], pa.binary())})
 
-    return shards.groupBy("lang", "range").applyInArrow(run, "lang string, range int, n long, counts binary")
+    # as many partitions as ranges, so that a task does not grow with the corpus
+    return shards.repartition(max(8, n_ranges), "lang", "range").groupBy("lang", "range").applyInArrow(run, "lang string, range int, n long, counts binary")
 
 
 def _candidates(counts: Transducer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -424,7 +430,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     base = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = max(1, -(-size // range_bytes))
-    united = scratch.save(_united(_shards(base, max_words, n_ranges), least), "united")
+    united = scratch.save(_united(_shards(base, max_words, n_ranges), least, n_ranges), "united")
     answers = _answered(united, _asked(united, n_ranges))
     found = _with_parts(united, answers).filter(100 * F.col("longer") < share * F.col("a"))
     score = "cast(1000000 as decimal(7,0)) * (cast(a as decimal(16,0)) * cast(a as decimal(16,0))) div (cast(c.l as decimal(16,0)) * cast(c.r as decimal(16,0)))"
