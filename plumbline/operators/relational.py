@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.rules import ColumnOrName, col
+from plumbline.session import ensure_checkpoint_dir
 
 
 def contains_ci(columns: Sequence[ColumnOrName], q: str) -> Column:
@@ -54,15 +55,36 @@ def lookup_by_alternates(df: DataFrame, alternates: Sequence[tuple[Column, objec
 PAGE = 10_000
 
 
+def _paged(numbered: DataFrame, on: Sequence[str], fields: Sequence[str], as_name: str, page: int) -> DataFrame:
+    lists = numbered.withColumn("page", F.floor((F.col("_pos") - 1) / page).cast("int")).groupBy(*on, "page").agg(F.array_sort(F.collect_list(F.struct("_pos", *fields))).alias(as_name))
+    return lists.withColumn(as_name, F.transform(as_name, lambda s: F.struct(*[s[f].alias(f) for f in fields])))
+
+
+def _numbered_by_range(rows: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Numbers of rows inside their key without a task that holds a key: ranges of (key, order) are numbered each, and the
+    sizes of a key's earlier ranges are added.  The ranges are written first, so that both steps see the same ones."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(ranges, *[col(c) for c in on], *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    earlier = W.partitionBy(*on).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = placed.groupBy(*on, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    inside = placed.withColumn("_in", F.row_number().over(W.partitionBy(*on, "_part").orderBy(*order)))
+    return inside.join(before.drop("_n"), [*on, "_part"]).withColumn("_pos", F.col("_in") + F.col("_before")).drop("_in", "_before")
+
+
 def child_pages(child: DataFrame, on: Sequence[str], order: Sequence[ColumnOrName], fields: Sequence[str], as_name: str, page: int = PAGE) -> DataFrame:
     """(on, page, array): all children of a key in order, in arrays of at most ``page``; pages are numbered from 0.
 
-    No child is left out, and no array grows with its key.
+    No child is left out, and no array grows with its key.  Keys of one page are numbered by a window, which holds ``page``
+    rows at most; keys of more pages (a share of the rows at most, as each has more than ``page``) by ranges.
     """
-    place = F.row_number().over(W.partitionBy(*on).orderBy(*[col(o) for o in order]))
-    numbered = child.withColumn("_pos", place).withColumn("page", F.floor((F.col("_pos") - 1) / page).cast("int"))
-    lists = numbered.groupBy(*on, "page").agg(F.array_sort(F.collect_list(F.struct("_pos", *fields))).alias(as_name))
-    return lists.withColumn(as_name, F.transform(as_name, lambda s: F.struct(*[s[f].alias(f) for f in fields])))
+    by = [col(o) for o in order]
+    by_window = lambda df: df.withColumn("_pos", F.row_number().over(W.partitionBy(*on).orderBy(*by)))
+    long = child.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > page) & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])).select(*on)
+    if long.isEmpty():
+        return _paged(by_window(child), on, fields, as_name, page)
+    short = _paged(by_window(child.join(long, list(on), "left_anti")), on, fields, as_name, page)
+    return short.unionByName(_paged(_numbered_by_range(child.join(long, list(on), "left_semi"), on, by), on, fields, as_name, page))
 
 
 def attach_pages(parent: DataFrame, lists: Sequence[tuple[str, DataFrame]], on: Sequence[str]) -> DataFrame:
