@@ -148,19 +148,31 @@ def _(t):
 FACTS = "SELECT DISTINCT company_id, project_id, trade FROM facts"
 
 
-@query("ag13_company_behavior", f"""
+BEHAVIOR_SQL = f"""
 WITH per AS (SELECT company_id, count(DISTINCT project_id) AS n, count(DISTINCT CASE WHEN trade = 'Fencing' THEN project_id END) AS f FROM facts GROUP BY 1),
 pt AS (SELECT seq AS company_id, count(*) AS paths, count(*) FILTER (val = 'High') AS high, count(*) FILTER (val = 'Medium') AS med FROM (SELECT *, {VALUE_SQL} AS val FROM ({PATHS_SQL})) GROUP BY 1),
 j AS (SELECT w.seq AS company_id, w.company_type, coalesce(n, 0) AS n, coalesce(f, 0) AS f, coalesce(paths, 0) AS paths, coalesce(high, 0) AS high, coalesce(med, 0) AS med FROM web w LEFT JOIN per ON per.company_id = w.seq LEFT JOIN pt ON pt.company_id = w.seq),
 s AS (SELECT *, CASE WHEN f = 0 THEN 'Unknown' WHEN company_type = 'Developer' AND f >= 3 THEN 'Frequently Outsources' WHEN company_type = 'Developer' THEN 'Sometimes Outsources'
-  WHEN company_type = 'General Contractor' AND f >= 8 THEN 'Self Performs' WHEN company_type = 'General Contractor' AND f >= 3 THEN 'Rarely Outsources' ELSE 'Unknown' END AS status FROM j)
-SELECT company_id, n AS project_count, f AS fencing_projects, status AS fencing_outsourcing, CAST(greatest(0.0, least(1.0, floor((least(0.35::DOUBLE, n * 0.035::DOUBLE) + least(0.2::DOUBLE, paths * 0.08::DOUBLE)
+  WHEN company_type = 'General Contractor' AND f >= 8 THEN 'Self Performs' WHEN company_type = 'General Contractor' AND f >= 3 THEN 'Rarely Outsources' ELSE 'Unknown' END AS status FROM j)"""
+LIKELIHOOD_SQL = """CAST(greatest(0.0, least(1.0, floor((least(0.35::DOUBLE, n * 0.035::DOUBLE) + least(0.2::DOUBLE, paths * 0.08::DOUBLE)
   + CASE WHEN high > 0 THEN 0.18::DOUBLE WHEN med > 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN status IN ('Frequently Outsources', 'Sometimes Outsources') THEN 0.22::DOUBLE ELSE 0::DOUBLE END
-  + CASE WHEN company_type = 'Developer' THEN 0.08::DOUBLE ELSE 0::DOUBLE END - CASE WHEN company_type = 'General Contractor' AND status = 'Self Performs' THEN 0.12::DOUBLE ELSE 0::DOUBLE END) * 100 + 0.5) / 100)) AS DOUBLE) AS opportunity_likelihood FROM s""")
-def _(t):
+  + CASE WHEN company_type = 'Developer' THEN 0.08::DOUBLE ELSE 0::DOUBLE END - CASE WHEN company_type = 'General Contractor' AND status = 'Self Performs' THEN 0.12::DOUBLE ELSE 0::DOUBLE END) * 100 + 0.5) / 100)) AS DOUBLE)"""
+
+
+def company_behavior(t):
     companies = t.web.select(F.col("seq").alias("company_id"), "company_type")
     paths = CO.procurement_paths(t.web, "seq").withColumnRenamed("seq", "company_id")
-    return CO.company_behavior(t.facts, paths, companies).select("company_id", "project_count", "fencing_projects", "fencing_outsourcing", "opportunity_likelihood")
+    return CO.company_behavior(t.facts, paths, companies)
+
+
+@query("ag13_company_behavior", BEHAVIOR_SQL + f" SELECT company_id, n AS project_count, f AS fencing_projects, status AS fencing_outsourcing, {LIKELIHOOD_SQL} AS opportunity_likelihood FROM s")
+def _(t):
+    return company_behavior(t).select("company_id", "project_count", "fencing_projects", "fencing_outsourcing", "opportunity_likelihood")
+
+
+@query("sm16_opportunity_likelihood", BEHAVIOR_SQL + f" SELECT company_type, status AS fencing_outsourcing, {LIKELIHOOD_SQL} AS opportunity_likelihood, count(*) AS companies FROM s GROUP BY ALL")
+def _(t):
+    return company_behavior(t).groupBy("company_type", "fencing_outsourcing", "opportunity_likelihood").agg(F.count(F.lit(1)).alias("companies"))
 
 
 @query("ag13_behavior_counts", """
@@ -247,7 +259,7 @@ def _(t):
 
 @query("ag23_names_by_role", """
 SELECT opportunity_id, string_agg(company, ', ' ORDER BY contact_seq) FILTER (role = 'Developer') AS developers, min_by(company, contact_seq) FILTER (role = 'Architect') AS architect
-FROM (SELECT *, row_number() OVER (PARTITION BY opportunity_id, role ORDER BY contact_seq) AS rn FROM contacts) WHERE rn <= 20 GROUP BY 1""")
+FROM contacts GROUP BY 1""")
 def _(t):
     architect = F.min_by("company", F.when(F.col("role") == "Architect", F.col("contact_seq")))
     return t.contacts.groupBy("opportunity_id").agg(A.names_of_role("role", "company", "contact_seq", "Developer").alias("developers"), architect.alias("architect"))

@@ -236,7 +236,7 @@ def _(t):
 
 @query("ex20_discover_sources", """
 WITH l AS (SELECT seq, 'local-' || id AS source_id, project_name || chr(10) || project_description AS seed, 0 AS p FROM opps UNION ALL SELECT o.seq, 'doc-' || CAST(d.seq AS VARCHAR), d.project_name, 1 FROM opps o JOIN docs d ON d.seq = o.seq
- UNION ALL SELECT seq, 'source-' || id, '', 2 FROM opps WHERE seq % 2 = 0 UNION ALL SELECT seq, 'local-' || id, 'later copy', 3 FROM opps WHERE seq % 3 = 0)
+ UNION ALL SELECT seq, 'source-' || id, '', 2 FROM opps UNION ALL SELECT seq, 'local-' || id, 'later copy', 3 FROM opps)
 SELECT seq, source_id, p AS priority, CASE WHEN length(trim(seed)) >= 40 AND p <> 2 THEN 'local_record' WHEN trim(seed) <> '' THEN 'local_summary' ELSE 'none' END AS text_source FROM l QUALIFY row_number() OVER (PARTITION BY seq, source_id ORDER BY p) = 1""")
 def _(t):
     none = F.lit(None).cast("string")
@@ -246,7 +246,7 @@ def _(t):
     d = t.docs.select("seq", "project_name").join(o.select("seq"), "seq")
     layers = [
         layer(o, local, F.concat("project_name", F.lit("\n"), "project_description"), none), layer(d, F.concat(F.lit("doc-"), F.col("seq").cast("string")), F.col("project_name"), none),
-        layer(o.filter("seq % 2 = 0"), F.concat(F.lit("source-"), "id"), F.lit(""), F.col("source_url")), layer(o.filter("seq % 3 = 0"), local, F.lit("later copy"), none),
+        layer(o, F.concat(F.lit("source-"), "id"), F.lit(""), F.col("source_url")), layer(o, local, F.lit("later copy"), none),
     ]
     return E.discover_sources(layers, "seq").select("seq", "source_id", "priority", "text_source")
 

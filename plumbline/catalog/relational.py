@@ -95,11 +95,11 @@ def _(t):
 @query("jn04_override_chain", """
 SELECT o.seq, coalesce(d.scope, a.scope, o.scope) AS scope, a.action_score FROM (SELECT seq, project_description AS scope FROM opps) o
 LEFT JOIN (SELECT seq, scope, objectid % 100 AS action_score FROM permits_b) a ON a.seq = o.seq
-LEFT JOIN (SELECT seq, CASE WHEN seq % 2 = 0 THEN id END AS scope FROM docs) d ON d.seq = o.seq""")
+LEFT JOIN (SELECT seq, CASE WHEN lang <> 'en' THEN id END AS scope FROM docs) d ON d.seq = o.seq""")
 def _(t):
     base = t.opps.select("seq", F.col("project_description").alias("scope"))
     actions = t.permits_b.select("seq", "scope", (F.col("objectid") % 100).alias("action_score"))
-    dossiers = t.docs.select("seq", F.when(F.col("seq") % 2 == 0, F.col("id")).alias("scope"))
+    dossiers = t.docs.select("seq", F.when(F.col("lang") != "en", F.col("id")).alias("scope"))
     return R.override_chain(base, [actions, dossiers], ["seq"]).select("seq", "scope", "action_score")
 
 
@@ -142,10 +142,10 @@ def _(t):
 
 
 @query("jn11_document_by_id_or_name", """
-SELECT o.seq, coalesce(d1.seq, d2.first_seq) AS doc_seq FROM opps o LEFT JOIN docs d1 ON d1.seq = o.seq AND o.seq % 3 = 0
+SELECT o.seq, coalesce(d1.seq, d2.first_seq) AS doc_seq FROM opps o LEFT JOIN docs d1 ON d1.seq = o.seq
 LEFT JOIN (SELECT trim(regexp_replace(lower(project_name), '[^a-z0-9]+', ' ', 'g')) AS k, min(seq) AS first_seq FROM docs GROUP BY 1) d2 ON d2.k = trim(regexp_replace(lower(o.project_name), '[^a-z0-9]+', ' ', 'g'))""")
 def _(t):
-    by_id = t.docs.filter("seq % 3 = 0").select("seq", F.col("seq").alias("id_hit"))
+    by_id = t.docs.select("seq", F.col("seq").alias("id_hit"))
     by_name = t.docs.groupBy(X.normalize_key("project_name").alias("k")).agg(F.min("seq").alias("name_hit"))
     o = t.opps.select("seq", X.normalize_key("project_name").alias("k"))
     return o.join(by_id, "seq", "left").join(by_name, "k", "left").select("seq", F.coalesce("id_hit", "name_hit").alias("doc_seq"))
