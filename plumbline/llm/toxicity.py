@@ -26,7 +26,8 @@ from plumbline.llm.labelled import fold, training_labels
 from plumbline.llm.scratch import Scratch
 
 PREFIX = 5
-#: size of a neutral term, and the deviations at which a term has size 1
+#: size of a neutral term, and the deviations at which a term has size 1: by ``cross_validated`` on the training rows alone
+#: (3155 rows outside the held-out fold, three parts) log loss 0.058; (0.1, 4) had 0.074 and (0.3, 8) 0.090
 LEAST, FULL = 0.1, 8.0
 
 
@@ -47,7 +48,8 @@ def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 class FactorizationMachine:
     """Second-order machine on sparse rows, fitted by stochastic gradient descent on log loss."""
 
-    def __init__(self, size: int, rank: int = 8, seed: int = 7):
+    def __init__(self, size: int, rank: int = 8, seed: int = 7, least: float = LEAST, full: float = FULL):
+        self.least, self.full = least, full
         self.bias = 0.0
         self.scale = np.ones(size)
         self.w = np.zeros(size)
@@ -82,7 +84,7 @@ class FactorizationMachine:
         # how far the positive rows of a term lie from their expectation, in standard deviations
         n, p = np.bincount(terms, minlength=n_buckets), np.bincount(terms, np.repeat(y, sizes), n_buckets)
         z = np.abs(p - n * mean) / np.sqrt(np.maximum(n, 1) * mean * (1 - mean))
-        self.scale = np.clip(np.where(n < 3, 0, z) / FULL, LEAST, 1)
+        self.scale = np.clip(np.where(n < 3, 0, z) / self.full, self.least, 1)
         rng = np.random.RandomState(11)
         params = np.column_stack([self.w, self.v])  # weight, then vector
         for _ in range(epochs):
@@ -106,6 +108,23 @@ class FactorizationMachine:
         return self
 
 
+def cross_validated(terms: np.ndarray, bounds: np.ndarray, y: np.ndarray, size: int, settings: list[tuple[float, float]], parts: int = 3) -> dict[tuple[float, float], float]:
+    """Mean log loss of settings (least, full) on parts of the training rows that the fit did not see."""
+    sizes, out = np.diff(bounds), {}
+    part = np.arange(len(y)) % parts  # the rows come in the order of a hash
+    row = np.repeat(np.arange(len(y)), sizes)
+    for least, full in settings:
+        loss = 0.0
+        for k in range(parts):
+            seen = part != k
+            machine = FactorizationMachine(size, least=least, full=full).fit(terms[seen[row]], np.concatenate([[0], np.cumsum(sizes[seen])]), y[seen])
+            place = np.cumsum(~seen) - 1
+            raw = machine.raw(place[row[~seen[row]]], terms[~seen[row]], int((~seen).sum()))
+            loss += np.logaddexp(0, np.where(y[~seen] == 1, -raw, raw)).sum()
+        out[least, full] = float(loss / len(y))
+    return out
+
+
 def _sampled_terms(docs: DataFrame, chosen: DataFrame, buckets: int) -> DataFrame:
     """(id, y, terms): distinct hashed terms of the training rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
