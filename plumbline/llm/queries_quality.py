@@ -39,7 +39,7 @@ def op7(spark, sf_dir):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in ("assign", "access", "hex")]
-    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.transform("spans", lambda s: F.round(s["score"], 3)).alias("scores"))
 
 
 @query("op2_license_scan")

@@ -2,18 +2,23 @@
 
 The values that the patterns find are labelled credentials.  For each kind a probabilistic automaton is inferred from
 them: a prefix tree of their character classes whose states are merged while their outgoing and ending frequencies are
-compatible (ALERGIA, red and blue states, Hoeffding bound).  Every other long token of every text is then scored by its
-likelihood under the automata against that under ordinary long tokens; a token whose format is far likelier as a
-credential is added as a span of the kind ``format``.
+compatible (ALERGIA, red and blue states, Hoeffding bound).  Every other token of every text over the same alphabet and of
+the same length (8 characters and more) is then scored by its likelihood under the automata against that under ordinary
+tokens, words among them; a token whose format is far likelier as a credential is added as a span of the kind ``format``.
+Its characters must be as likely as those of labelled values, and tokens of which that is true are left out where the
+ordinary ones are learned.  An automaton of few values needs a larger margin, which falls with their number.
 
 The fit uses at most ``sample`` distinct values of each kind and as many ordinary tokens, those with the smallest hash, on
-the driver; the automata are a few kilobytes.  Scanning is one pass over all texts for the fit and one for the result.
+the driver; tasks send no more than that for a batch.  The automata are a few kilobytes.  Scanning is one pass over all texts for the fit and one for the result.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +35,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, as a run of 32 or more start
 KINDS = ("assign", "access", "hex")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: alphabet and least length of the labelled values; a full stop at the end ends the sentence
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{7,}[A-Za-z0-9+/_=-]")
+#: values of a kind at which its margin is twice the usual one
+FEW = 20
+#: tokens whose verdict a task remembers
+REMEMBERED = 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -46,18 +56,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, token) of long tokens with a digit and a letter that touch no base span."""
+    """(start, end, token) of tokens that touch no base span."""
     out, taken, at = [], [(s, e) for s, _, e, _ in base], 0
     reach = 0
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-            continue
         while at < len(taken) and taken[at][0] < m.end():
             reach = max(reach, taken[at][1])
             at += 1
         if reach <= m.start():
-            out.append((m.start(), m.end(), token))
+            out.append((m.start(), m.end(), m[0]))
     return out
 
 
@@ -148,17 +155,22 @@ class Automaton:
         self.values = n_values
         return self
 
-    def log_likelihood(self, value: str, symbols: int = 64) -> float:
-        """Mean log probability by character, the end included; what was never seen has a small share."""
-        state, total = 0, 0.0
+    def steps(self, value: str, symbols: int = 64) -> list[float]:
+        """Log probability of each character and of the end; what was never seen has a small share."""
+        state, out = 0, []
         for c in map(char_class, value):
             n = self._total(state) if state is not None else 0
             to, f = self.next[state].get(c, (None, 0)) if state is not None else (None, 0)
-            total += math.log((f + 0.1) / (n + 0.1 * symbols))
+            out.append(math.log((f + 0.1) / (n + 0.1 * symbols)))
             state = to
         end = self.ends[state] if state is not None else 0
         n = self._total(state) if state is not None else 0
-        return (total + math.log((end + 0.1) / (n + 0.1 * symbols))) / (len(value) + 1)
+        return [*out, math.log((end + 0.1) / (n + 0.1 * symbols))]
+
+    def log_likelihood(self, value: str) -> float:
+        """Mean log probability by character, the end included."""
+        steps = self.steps(value)
+        return sum(steps) / len(steps)
 
 
 class FormatModel:
@@ -166,35 +178,68 @@ class FormatModel:
 
     def __init__(self, kinds: dict[str, list[str]], ordinary: list[str], margin: float):
         self.margin = margin
-        self.kinds = {k: Automaton().fit(sorted(v)) for k, v in kinds.items() if len(v) >= 20}
-        self.ordinary = Automaton().fit(sorted(ordinary))
+        self.kinds = {k: Automaton().fit(sorted(v)) for k, v in kinds.items() if v}
+        self.spread, self.needed = {}, {}
+        for k, a in self.kinds.items():
+            classes = Counter(c for v in kinds[k] for c in set(map(char_class, v)))
+            self.needed[k] = {c for c, n in classes.items() if 100 * n >= 99 * len(kinds[k])}
+            steps = [x for v in kinds[k] for x in a.steps(v)[:-1]]
+            mean = sum(steps) / len(steps)
+            self.spread[k] = mean, math.sqrt(sum((x - mean) ** 2 for x in steps) / len(steps))
+        # unlabelled credentials among the ordinary tokens would teach their format to the other side
+        self.ordinary = Automaton().fit(sorted(t for t in ordinary if not self.typical(t)))
+        self.known: dict[str, float] = {}
+
+    def typical(self, token: str) -> bool:
+        """Whether a token has the kinds of characters that all values of an automaton have, and is as likely as they are, up to
+        chance.  A number is not, where all values mix digits and letters."""
+        for k, a in self.kinds.items():
+            mean, deviation = self.spread[k]
+            steps = a.steps(token)[:-1]
+            if self.needed[k] <= set(map(char_class, token)) and abs(sum(steps) / len(steps) - mean) <= 4 * deviation / math.sqrt(len(steps)) + 1e-9:
+                return True
+        return False
+
+    def score(self, token: str) -> float | None:
+        """How much likelier (mean log by character) the token is as a credential, less what its automaton lacks in values."""
+        if not self.kinds:
+            return None
+        usual = self.ordinary.log_likelihood(token)
+        return max(a.log_likelihood(token) - usual - self.margin * FEW / a.values for a in self.kinds.values())
 
     def is_secret(self, token: str) -> bool:
-        if not self.kinds:
-            return False
-        return max(a.log_likelihood(token) for a in self.kinds.values()) - self.ordinary.log_likelihood(token) > self.margin
+        if token not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[token] = self.score(token) if self.typical(token) else -math.inf
+        return self.known[token] > self.margin
 
 
-def _values(docs: DataFrame) -> DataFrame:
-    """(kind, value) of base matches and of ordinary long tokens, distinct within a batch."""
+def _values(docs: DataFrame, sample: int, longest: int) -> DataFrame:
+    """(kind, value, h) of base matches and of ordinary tokens: of each batch the ``sample`` distinct ones of a kind with the
+    smallest hash, among which are all that can be among the smallest of the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set()
+            found: dict[str, set[str]] = {k: set() for k in (*KINDS, "ordinary")}
             for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
-                    found.update((KINDS[k], v) for _, k, _, v in base)
-                    found.update(("ordinary", t) for _, _, t in candidates(text, base))
-            kind, value = zip(*sorted(found)) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(value, pa.string())], ["kind", "value"])
+                    for _, k, _, v in base:
+                        found[KINDS[k]].add(v)
+                    found["ordinary"].update([t for _, _, t in candidates(text, base)])
+            rows = []
+            for kind, values in found.items():
+                hashed = [(zlib.crc32(v.encode()), v) for v in values if len(v) <= longest]
+                rows += [(kind, v, h) for h, v in heapq.nsmallest(sample, hashed)]
+            kind, value, h = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(h, pa.int64())], ["kind", "value", "h"])
 
-    return docs.select("text").mapInArrow(run, "kind string, value string")
+    return docs.select("text").mapInArrow(run, "kind string, value string, h long")
 
 
 def fit_formats(docs: DataFrame, scratch: Scratch, sample: int, longest: int, margin: float) -> FormatModel:
-    values = _values(docs).filter(F.length("value") <= longest)
-    distinct = scratch.save(values.groupBy("kind", "value").agg(F.xxhash64(F.first("value")).alias("h")), "values")
+    distinct = scratch.save(_values(docs, sample, longest).distinct(), "values")
     groups = {k: [r["value"] for r in distinct.filter(F.col("kind") == k).orderBy("h", "value").limit(sample).select("value").collect()] for k in (*KINDS, "ordinary")}
     return FormatModel({k: groups[k] for k in KINDS}, groups["ordinary"], margin)
 
@@ -202,25 +247,25 @@ def fit_formats(docs: DataFrame, scratch: Scratch, sample: int, longest: int, ma
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, longest: int = 128, margin: float = 0.7) -> DataFrame:
     """Spans of secrets in every text.
 
-    Returns ``id_col`` and spans: array of (kind, start, end, base) by start, then kind in the order assign, access, hex,
+    Returns ``id_col`` and spans: array of (kind, start, end, base, score) by start, then kind in the order assign, access, hex,
     format; code points, end exclusive; base marks those of the fixed patterns.  A row for each input row, rows that
-    repeat an id included.  Null and empty texts have no spans.  With fewer than 20 values of a kind there is no automaton
-    for it; without any, only the fixed patterns are returned.  Values of up to ``longest`` characters are learned from,
+    repeat an id included; score is the log likelihood ratio of the value's format by character, null where nothing could be
+    learned.  Null and empty texts have no spans.  Without any labelled value only the fixed patterns are looked for.  Values of up to ``longest`` characters are learned from,
     tokens of any length are scored.  Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = fit_formats(base, scratch, sample, longest, margin)
-    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
-    arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
+    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType()), T.StructField("score", T.DoubleType())])
+    arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 found = base_spans(text) if text else []
-                spans = [(s, k, e) for s, k, e, _ in found] + [(s, 3, e) for s, e, t in candidates(text or "", found) if model.is_secret(t)]
-                rows.append([{"kind": (*KINDS, "format")[k], "start": s, "end": e, "base": k < 3} for s, k, e in sorted(spans)])
+                spans = found + [(s, 3, e, t) for s, e, t in candidates(text or "", found) if model.is_secret(t)]
+                rows.append([{"kind": (*KINDS, "format")[k], "start": s, "end": e, "base": k < 3, "score": model.score(v)} for s, k, e, v in sorted(spans)])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, arrow_span)], ["id", "spans"])
 
     return base.mapInArrow(run, T.StructType([base.schema["id"], T.StructField("spans", T.ArrayType(span))])).withColumnRenamed("id", id_col)
