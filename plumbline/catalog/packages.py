@@ -245,13 +245,28 @@ k AS (SELECT *, greatest(0, least(100, CASE WHEN scale < 2 THEN greatest(26, lea
 FENCE_SORT = "CASE package_size WHEN 'development' THEN 3 WHEN 'commercial' THEN 2 ELSE 1 END DESC, contact_status = 'phone' DESC, scale DESC, frank DESC, cq DESC, fence_probability DESC, fscore DESC, search_score DESC, seq"
 
 
-@query("wn09_fencing_sort", FENCE_ROWS + f" SELECT seq, package_size, scale AS package_scale, fscore AS contractor_score, search_score FROM k WHERE scale < 3 AND NOT housing AND search_score >= 25 AND reasons = '' AND rel >= 25 AND satp < 40 AND noisep = 0 AND direct ORDER BY {FENCE_SORT} LIMIT 50")
+LABEL = "name"
+for tag in X.LOT_TAGS:
+    LABEL = f"regexp_replace({LABEL}, {q(tag)}, ' ', 'g')"
+PACKAGE = f"""trim(regexp_replace(lower(concat_ws(' ', CASE WHEN community <> '' THEN CASE WHEN starts_with(cue, 'village') THEN 'villages at ' ELSE 'the lakes at ' END || community
+ ELSE substr(trim(regexp_replace({LABEL}, '\\s+', ' ', 'g')), 1, 60) END, coalesce(developer, ''), coalesce(city, ''))), '[^a-z0-9]+', ' ', 'g'))"""
+
+
+def fencing_sql(where: str) -> str:
+    """Rows of the fencing search after its gates; large packages and housing keep one row for each package key."""
+    return FENCE_ROWS + f""",
+n AS (SELECT *, lower(project_name) AS name, regexp_extract(lower(project_name), {q(X.COMMUNITY_CUE)}, 2) AS community, regexp_extract(lower(project_name), {q(X.COMMUNITY_CUE)}, 1) AS cue FROM k
+ WHERE search_score >= 25 AND reasons = '' AND rel >= 25 AND satp < 40 AND noisep = 0 AND (direct OR housing) AND {where}),
+z AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY CASE WHEN scale >= 3 OR housing THEN 'pkg:' || {PACKAGE} ELSE 'row:' || CAST(seq AS VARCHAR) END ORDER BY {FENCE_SORT}) = 1)
+SELECT seq, package_size, scale AS package_scale, fscore AS contractor_score, search_score FROM z ORDER BY {FENCE_SORT} LIMIT 50"""
+
+
+@query("wn09_fencing_sort", fencing_sql("true"))
 def _(t):
-    rows = R.filter_once(search_rows(t), (F.col("package_scale") < 3) & ~F.col("housing"))  # single rows: what is left is the gate and the eight sort keys
-    return PK.contractor_search(rows, "fence sacramento", SEARCH_TEXT, "seq").select("seq", "package_size", "package_scale", "contractor_score", "search_score")
+    return PK.contractor_search(search_rows(t), "fence sacramento", SEARCH_TEXT, "seq").select("seq", "package_size", "package_scale", "contractor_score", "search_score")
 
 
-@query("sr09_contractor_search")
+@query("sr09_contractor_search", fencing_sql("contact_status = 'phone'"))
 def _(t):
     out = PK.contractor_search(search_rows(t), "fence sacramento", SEARCH_TEXT, "seq", {"contact": ["phone"]})
     return out.select("seq", "package_size", "package_scale", "contractor_score", "search_score")
