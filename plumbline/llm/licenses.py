@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.bytewords import ALNUM, Words, grams, text_slices, words_of
+from plumbline.llm.registry import ship
 
 _U = np.uint64
 MAX_TEMPLATES = 10_000
@@ -203,6 +204,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     templates = TEMPLATES if templates is None else templates
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
+    ship(docs.sparkSession)
     index = _Index(templates, shingle)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([base.schema["id"], T.StructField("license", T.StringType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("containment", T.DoubleType())])

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from plumbline.llm.registry import ship
+
 #: words remembered by each Python worker in either of two generations
 CACHE_WORDS = 1_000_000
 #: characters that form tokens of their own after the letters of a word
@@ -145,6 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     have none, are documents of their own.  sequence_id is (task, number in the task), so it is the same when a task is
     run again.  An empty table gives no rows.  Other columns are not read.
     """
+    ship(docs.sparkSession)
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     whole = [T.StructField(n, T.LongType()) for n in ("start", "length")]
     rest = [T.StructField(n, T.LongType()) for n in ("doc_tokens", "sequence_id", "offset")]

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.bytewords import NOT_SPACE, mix, text_slices, words_of
+from plumbline.llm.registry import ship
 
 SHORT = 16  # periods below are scanned lag by lag; a power of two, twice the lowest scale
 RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("period", T.LongType())])
@@ -197,6 +198,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     if times < 3:
         raise ValueError("runs of fewer than three periods are not searched")
+    ship(docs.sparkSession)
     carried = [f"_carry{i}" for i in range(len(carry))]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(x) for c, x in zip(carry, carried)])
     schema = T.StructType([base.schema["id"], *(base.schema[c] for c in carried), T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(RUN)), T.StructField("collapsed", T.StringType())])

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.registry import ship
 from plumbline.session import ensure_checkpoint_dir
 
 
@@ -18,6 +19,7 @@ class Scratch:
     """A folder of its own for one operator run.  ``drop`` removes tables that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)  # an operator that writes tables also runs its functions on the executors
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
