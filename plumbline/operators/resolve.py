@@ -148,21 +148,42 @@ def _ranked_tokens(e: DataFrame) -> DataFrame:
     return e.join(ranked.withColumn("ranked", F.transform("ranked", lambda s: s["tok"])), "eid")
 
 
+CELL = 2000
+
+
+def grid_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str = "a", right_id: str = "b", cell: int = CELL) -> DataFrame:
+    """Join of two sides by block where a few blocks hold many members.
+
+    The members of both sides of a block are counted first.  A block is a grid of cells of about ``cell`` members a side, and
+    each cell is a join key of its own, so no task compares more than one cell; blocks of one cell are joined as they are.
+    """
+    size = lambda d, n: d.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias(n))
+    cells = size(left, "_rows").join(size(right, "_cols"), list(on)).filter("_rows > 1 OR _cols > 1")
+    one = F.lit(1)
+    l, r = left.join(cells, list(on), "left"), right.join(cells, list(on), "left")
+    rows, cols = F.coalesce("_rows", one), F.coalesce("_cols", one)
+    place = lambda c, n: F.pmod(F.xxhash64(c), n.cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    l = l.withColumn("_i", place(left_id, rows)).withColumn("_j", every(cols)).drop("_rows", "_cols")
+    r = r.withColumn("_j", place(right_id, cols)).withColumn("_i", every(rows)).drop("_rows", "_cols")
+    return l.join(r, [*on, "_i", "_j"]).drop("_i", "_j")
+
+
 # --- ER-03: candidate links between distinct entities -------------------------------------------
 def link_entities(entities: DataFrame) -> DataFrame:
     """Unordered links (a, b, weight >= .55) between distinct entities(eid, type, norm, confidence).
 
     A pair reaches .55 only with equal names, a substring, or a token Jaccard of
     at least 0.56 (the best case of the weight formula), which gives three lossless
-    blocks: equal name; the rarest tokens of both names (prefix filter); and, for
-    substrings, the rarest 3-gram of the shorter name.
+    blocks: equal name; the rarest tokens of both names (prefix filter, with the bounds that the
+    lengths and the places of the shared token give); and, for substrings, the rarest 3-gram of
+    the shorter name.  Blocks are joined by cells, so a token of many names is many tasks.
     """
     e = entities.withColumn("fam", family("type")).filter("norm <> ''").withColumn("len", F.length("norm"))
     ranked = _ranked_tokens(e)
     n = F.size("ranked")
     floor_j = 0.56
-    prefix = ranked.select("eid", "fam", "norm", F.explode(F.slice("ranked", F.lit(1), n - F.ceil(n * floor_j).cast("int") + 1)).alias("key"))
-    prefix = prefix.withColumn("key", F.concat(F.lit("t:"), "key"))
+    prefix = ranked.select("eid", "fam", "norm", n.alias("n"), F.posexplode(F.slice("ranked", F.lit(1), n - F.ceil(n * floor_j).cast("int") + 1)).alias("pos", "key"))
     # 3-grams; a name shorter than three is its own gram
     grams = lambda m: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("len") - m + 1)), lambda i: F.substr("norm", i, F.lit(m))))
     own = e.select("eid", "fam", "norm", F.explode(grams(3)).alias("gram"))
@@ -172,10 +193,14 @@ def link_entities(entities: DataFrame) -> DataFrame:
     df = every.groupBy("fam", "gram").agg(F.count(F.lit(1)).alias("df"))
     rare = best_per_key(own.join(df, ["fam", "gram"]), ["eid"], ["df", "gram"]).select("eid", "fam", "norm", "gram")
     short, full = rare.select(F.col("eid").alias("a"), "fam", F.col("norm").alias("an"), "gram"), every.select(F.col("eid").alias("b"), "fam", F.col("norm").alias("bn"), "gram")
-    inside = short.join(full, ["fam", "gram"]).filter((F.col("an") != F.col("bn")) & F.col("bn").contains(F.col("an"))).select("a", "b")
-    left, right = prefix.select(F.col("eid").alias("a"), "fam", F.col("norm").alias("an"), "key"), prefix.select(F.col("eid").alias("b"), "fam", F.col("norm").alias("bn"), "key")
-    close = left.join(right, ["fam", "key"]).filter((F.col("a") < F.col("b")) & (F.col("an") != F.col("bn"))).select("a", "b")
-    twin = e.select(F.col("eid").alias("a"), "fam", "norm").join(e.select(F.col("eid").alias("b"), "fam", "norm"), ["fam", "norm"]).filter("a < b").select("a", "b")
+    inside = grid_join(short, full, ["fam", "gram"]).filter((F.col("an") != F.col("bn")) & F.col("bn").contains(F.col("an"))).select("a", "b")
+    of = lambda i: prefix.select(F.col("eid").alias(i), "fam", F.col("norm").alias(f"{i}n"), F.col("n").alias(f"{i}_n"), F.col("pos").alias(f"{i}_pos"), "key")
+    left, right = of("a"), of("b")
+    # shared tokens are at most this one and those after it; a Jaccard of 0.56 takes 56 / 156 of all tokens
+    most = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    enough = (most * 156 >= (F.col("a_n") + F.col("b_n")) * 56) & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * 56)
+    close = grid_join(left, right, ["fam", "key"]).filter((F.col("a") < F.col("b")) & (F.col("an") != F.col("bn")) & enough).select("a", "b")
+    twin = grid_join(e.select(F.col("eid").alias("a"), "fam", "norm"), e.select(F.col("eid").alias("b"), "fam", "norm"), ["fam", "norm"]).filter("a < b").select("a", "b")
     ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = ordered(inside).unionByName(close).unionByName(twin).distinct()
     info = entities.select("eid", "type", "norm", "confidence")
