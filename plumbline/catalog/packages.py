@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.base import q, query, rx, sql_first, sql_hits
 from plumbline.catalog.classify_scope import texted
+from plumbline.catalog.scalar import STOPS
 from plumbline.catalog.scoring_trades import BEST, BLOB_COLS, MATRIX
 from plumbline.functions import text as X
 from plumbline.operators import relational as R
@@ -203,7 +204,8 @@ def search_rows(t):
 
 
 SEARCH_TEXT = ["project_name", "project_location", "trade", "developer", "general_contractor"]
-SEARCHED = "lower(concat_ws(' ', " + ", ".join(f"nullif({c}, '')" for c in SEARCH_TEXT) + "))"
+SEARCHED_OF = lambda columns: "lower(concat_ws(' ', " + ", ".join(f"nullif({c}, '')" for c in columns) + "))"
+SEARCHED = SEARCHED_OF(SEARCH_TEXT)
 OTHER_REASONS = """concat_ws('|', CASE WHEN size = 'Tiny' THEN 'x' END, CASE WHEN sub = 'Low' THEN 'x' END, CASE WHEN stg = 'Late' THEN 'x' END, CASE WHEN satp >= 40 THEN 'x' END, CASE WHEN noisep > 0 THEN 'x' END)"""
 ROUTED = """CASE WHEN ph AND (dm OR co) AND (pa OR ro) THEN 'High Confidence' WHEN (ph OR dm OR pa OR ro) AND ((ph AND co) OR (co AND pa) OR (ph AND pa) OR pursuit >= 60) THEN 'Medium Confidence' ELSE 'Research Required' END"""
 KNOWN_POINTS = " + ".join(f"CASE WHEN {KNOWN.format(c)} THEN {n} ELSE 0 END" for c, n in (("developer", 14), ("general_contractor", 16), ("architect", 6), ("procurement_route", 8)))
@@ -221,13 +223,15 @@ x AS (SELECT ff.*, mm.r, mm.satp, mm.noisep, mm.score AS tscore, mm.sub_s, own.r
   FROM ff JOIN mm USING (seq) JOIN own USING (seq) JOIN pr USING (seq) WHERE mm.model = {q(trade)})"""
 
 
-@query("sr09_trade_search", search_sql("Roofing") + f""",
+TRADE_ROWS = f""",
 y AS (SELECT *, greatest(0, least(100, CAST(floor((r * 28 + tscore * 24 + pursuit * 36 + act * 8 + cq * 4 + 50) / 100.0) AS INT) + 3 * CAST(contains(searched, 'roofing') AS INT) + adj)) AS search_score,
   {sql_hits('txt', V.TRADE_EVIDENCE_TERMS['Roofing'])} > 0 OR (NOT contains(trade, ',') AND contains(lower(trade), 'roofing')) AS evidence
-  FROM (SELECT *, regexp_replace(lower(project_name || ' ' || project_description), {q(V.BOILERPLATE)}, ' ', 'g') AS txt FROM x))
-SELECT seq, pursuit_confidence, r AS trade_relevance, tscore AS contractor_score, search_score FROM y
-WHERE search_score >= 35 AND reasons = '' AND r >= 50 AND satp < 40 AND noisep = 0 AND tscore >= 35 AND evidence AND pursuit >= 18
-ORDER BY CASE pursuit_confidence WHEN 'High Confidence' THEN 3 WHEN 'Medium Confidence' THEN 2 ELSE 1 END DESC, pursuit DESC, r DESC, tscore DESC, search_score DESC, act DESC, cq DESC, seq LIMIT 30""")
+  FROM (SELECT *, regexp_replace(lower(project_name || ' ' || project_description), {q(V.BOILERPLATE)}, ' ', 'g') AS txt FROM x))"""
+TRADE_GATE = """WHERE search_score >= 35 AND reasons = '' AND r >= 50 AND satp < 40 AND noisep = 0 AND tscore >= 35 AND evidence AND pursuit >= 18"""
+TRADE_ORDER = "ORDER BY CASE pursuit_confidence WHEN 'High Confidence' THEN 3 WHEN 'Medium Confidence' THEN 2 ELSE 1 END DESC, pursuit DESC, r DESC, tscore DESC, search_score DESC, act DESC, cq DESC, seq LIMIT 30"
+
+
+@query("sr09_trade_search", search_sql("Roofing") + TRADE_ROWS + f" SELECT seq, pursuit_confidence, r AS trade_relevance, tscore AS contractor_score, search_score FROM y {TRADE_GATE} {TRADE_ORDER}")
 def _(t):
     out = PK.contractor_search(search_rows(t), "roofing", SEARCH_TEXT, "seq")
     return out.select("seq", "pursuit_confidence", "trade_relevance", "contractor_score", "search_score")
@@ -272,7 +276,22 @@ def _(t):
     return out.select("seq", "package_size", "package_scale", "contractor_score", "search_score")
 
 
-@query("sr11_combined_search")
+COMBINED_TEXT = ["project_name", "project_location", "trade"]
+COMBINED = "roofing sacramento"
+CW = COMBINED.split()
+COMBINED_META = " + ".join(f"CASE WHEN contains(lower(coalesce({c}, '')), {q(COMBINED)}) THEN {n} ELSE 0 END" for c, n in (("city", 0.2), ("county", 0.15), ("trade", 0.25)))
+
+
+@query("sr11_combined_search", search_sql("Roofing").replace(SEARCHED, SEARCHED_OF(COMBINED_TEXT)) + TRADE_ROWS + f""",
+hits AS (SELECT seq FROM y {TRADE_GATE} {TRADE_ORDER}), src AS (SELECT o.seq AS doc, o.project_name || ' ' || concat_ws(' ', o.project_description, o.trade, o.city, o.county) AS whole, o.city, o.county, o.trade FROM opps o JOIN hits USING (seq)),
+tk AS (SELECT doc, list_filter(regexp_split_to_array(lower(whole), '[^a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS})) AS t FROM src),
+cn AS (SELECT doc, len(t) AS len, unnest(t) AS token FROM tk), c AS (SELECT doc, len, token, count(*) AS n FROM cn GROUP BY 1, 2, 3), df AS (SELECT token, count(*) AS df FROM c GROUP BY 1), n AS (SELECT count(*) AS n FROM src),
+v AS (SELECT doc, token, c.n / len * (ln((n.n + 1) / (df.df + 1)) + 1) AS weight FROM c JOIN df USING (token), n),
+qw AS (SELECT token, CAST(1 AS DOUBLE) / {len(CW)} * coalesce((SELECT ln((n.n + 1) / (df.df + 1)) + 1 FROM df, n WHERE df.token = z.token), 0.5) AS w FROM (VALUES {', '.join(f'({q(w)})' for w in CW)}) z(token)), qm AS (SELECT sqrt(sum(w * w)) AS m FROM qw),
+sm AS (SELECT doc, sum(weight * coalesce(w, 0)) AS dot, sqrt(sum(weight * weight)) AS mag FROM v LEFT JOIN qw USING (token) GROUP BY 1),
+sc AS (SELECT src.doc, coalesce(dot / (mag * m), 0) AS lex, least(1.0, {COMBINED_META} + CASE WHEN contains(lower(trade), 'roofing') THEN 0.35 ELSE 0 END)::DOUBLE AS meta, {sql_hits('lower(whole)', CW)} / {len(CW)} AS ph FROM src LEFT JOIN sm ON sm.doc = src.doc, qm)
+SELECT doc, CAST(floor((lex * 0.62::DOUBLE + meta * 0.28::DOUBLE + ph * 0.1::DOUBLE) * 1000 + 0.5) / 1000 AS DOUBLE) AS score, CAST(floor(lex * 1000 + 0.5) / 1000 AS DOUBLE) AS lexical_score, CAST(floor(meta * 1000 + 0.5) / 1000 AS DOUBLE) AS metadata_score
+FROM sc WHERE NOT (lex * 0.62 + meta * 0.28 + ph * 0.1 < 0.04 AND lex < 0.02) ORDER BY 2 DESC, 1 LIMIT 20""")
 def _(t):
     corpus = PK.contractor_search(search_rows(t), "roofing", ["project_name", "project_location", "trade"], "seq").withColumn("body", F.concat_ws(" ", "project_description", "trade", "city", "county"))
     return S.semantic_search(corpus, "seq", "project_name", "body", "roofing sacramento", 20, {"city": "city", "county": "county", "trade": "trade"}, "Roofing").select("doc", "score", "lexical_score", "metadata_score")
