@@ -386,11 +386,10 @@ WITH e AS (SELECT DISTINCT 's:' || CAST(l_suppkey AS VARCHAR) AS src, 'f:' || l_
 b AS (SELECT src AS id, dst AS other, 'out' AS dir FROM e UNION ALL SELECT dst, src, 'in' FROM e)
 SELECT id, dir, count(*) AS degree, string_agg(other, '|' ORDER BY other) AS neighbors FROM b GROUP BY 1, 2""")
 def _(t):
-    from plumbline.operators.graph import neighborhood
+    from plumbline.operators.graph import neighbor_text
 
     e = t.lineitem.select(F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("f:"), "l_returnflag").alias("dst")).distinct()
-    n = neighborhood(e)
-    return n.select("id", "dir", "degree", F.array_join("neighbors", "|").alias("neighbors"))
+    return neighbor_text(e)
 
 
 @query("sk07_validate_import", """
