@@ -111,14 +111,19 @@ h AS (SELECT cluster, members, coalesce(devs, 0) AS devs, coalesce(subs, 0) AS s
   CAST(least(97, 28 + least(35, members * 8) + CASE WHEN coalesce(devs, 0) > 0 THEN 18 ELSE 0 END + CASE WHEN coalesce(subs, 0) > 0 THEN 20 ELSE 0 END + CASE WHEN trades >= 2 THEN 8 ELSE 0 END + 10) AS DOUBLE) / 100 AS confidence FROM m LEFT JOIN en USING (cluster))"""
 
 
-def hypothesis_rows(t):
-    keys = t.planning.select(F.col("seq").alias("key"))
+def hypothesis_parts(t):
+    """(records, entities, clusters): the inputs of a hypothesis; the records are linked once."""
     e = atoms(t)
-    clusters = R.cluster_records(e, keys)
+    clusters = R.cluster_records(e, t.planning.select(F.col("seq").alias("key")))
     word = F.split("entitlement", " ")[0]
     a = t.planning.select(F.col("seq").alias("key"), "title", F.concat_ws(" ", "title", "description").alias("text"), F.lit("c").alias("city"), F.lit("c").alias("county"),
                           F.when(F.col("entitlement") != "", F.array(word)).otherwise(F.array().cast("array<string>")).alias("trades"))
-    return a, R.hypotheses(a, e, clusters)
+    return a, e, clusters
+
+
+def hypothesis_rows(t):
+    parts = hypothesis_parts(t)
+    return parts[0], R.hypotheses(*parts)
 
 
 VALUES_SQL = HYP_SQL + """, vals AS (SELECT cluster, kind, value, min(key) AS first_key FROM (
@@ -133,8 +138,7 @@ def _(t):
 
 
 def hypothesis_lists(t):
-    a, _ = hypothesis_rows(t)
-    return R.hypothesis_values(a, atoms(t), R.cluster_records(atoms(t), t.planning.select(F.col("seq").alias("key"))))
+    return R.hypothesis_values(*hypothesis_parts(t))
 
 
 TOP = lambda kind, n: f"(SELECT string_agg(value, ', ' ORDER BY first_key, value) FROM (SELECT * FROM vals v WHERE v.cluster = h.cluster AND v.kind = {q(kind)} ORDER BY first_key, value LIMIT {n}))"
@@ -144,7 +148,8 @@ TOP = lambda kind, n: f"(SELECT string_agg(value, ', ' ORDER BY first_key, value
   CASE WHEN package_size = 'development' THEN 'Looks like a housing / development package worth early pursuit.' END), ''), 'Single-source signal with extractable entities.')) AS why
 FROM (SELECT *, {TOP('developer', 2)} AS dv, {TOP('subdivision', 2)} AS sb, {TOP('trade', 4)} AS td FROM h WHERE NOT (members = 1 AND package_size = 'small') AND NOT (members = 1 AND confidence < 0.4))""")
 def _(t):
-    return R.hypothesis_reasons(hypothesis_rows(t)[1], hypothesis_lists(t)).select("cluster", F.lower(F.array_join("why", "|")).alias("why"))
+    parts = hypothesis_parts(t)
+    return R.hypothesis_reasons(R.hypotheses(*parts), R.hypothesis_values(*parts)).select("cluster", F.lower(F.array_join("why", "|")).alias("why"))
 
 
 @query("er06_hypotheses", HYP_SQL + " SELECT cluster, members, package_size, confidence FROM h WHERE NOT (members = 1 AND package_size = 'small') AND NOT (members = 1 AND confidence < 0.4)")
