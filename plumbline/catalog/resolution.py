@@ -14,6 +14,7 @@ from plumbline.operators import graph as G
 from plumbline.operators import resolve as R
 from plumbline.plans import companies as CO
 from plumbline.plans import vocab as V
+from plumbline.session import ensure_checkpoint_dir
 
 N3 = lambda e: strip(e, X.SUFFIXES_V3)
 TITLE = lambda e: f"regexp_replace(regexp_replace({RAISE.format(f'lower(trim({e}))')}, '\\bLlc\\b', 'LLC', 'g'), '\\bInc\\b\\.?', 'Inc.', 'g')"
@@ -60,7 +61,10 @@ def _(t):
 
 def distinct_entities(t):
     e = atoms(t).filter("norm <> ''").select("type", "norm", "confidence").distinct()
-    return e.withColumn("eid", F.sha2(F.concat_ws("|", "type", "norm", F.col("confidence").cast("string")), 256))
+    e = e.withColumn("eid", F.sha2(F.concat_ws("|", "type", "norm", F.col("confidence").cast("string")), 256))
+    # each block of the links reads it again, so it is written once
+    ensure_checkpoint_dir(t.spark)
+    return e.checkpoint()
 
 
 @query("er03_link_entities", ENTS + " SELECT type, an, bn, CAST(floor(weight * 10000 + 0.5) AS BIGINT) AS weight FROM pw WHERE an < bn AND weight >= 0.55".replace("FROM pw", "FROM pw"))
