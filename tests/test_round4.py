@@ -46,3 +46,15 @@ def test_records_are_linked_once(name, spark, sf, monkeypatch):
     monkeypatch.setattr(R, "cluster_records", lambda *a: calls.append(1) or cluster(*a))
     QUERIES[name](spark, sf)
     assert len(calls) == 1
+
+
+def test_merged_elements_read_their_writes_once(spark):
+    from plumbline.operators import properties as P
+
+    rows = spark.createDataFrame([("a", "x", "one", 1, {"k": "1", "l": "1"}), ("a", "x", "two", 2, {"k": None}), ("b", "x", None, 3, {})],
+                                 "id string, type string, label string, at int, props map<string,string>")
+    merged = P._merged(rows, ["id", "type"])
+    assert "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["id"], r["label"], tuple(sorted(r["props"].items()))) for r in merged.collect()} == {("a", "two", (("k", None), ("l", "1"))), ("b", None, ())}
+    edges = P._merged(rows.drop("label"), ["id", "type"])
+    assert {(r["id"], len(r["props"])) for r in edges.collect()} == {("a", 2), ("b", 0)}
