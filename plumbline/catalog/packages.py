@@ -16,6 +16,7 @@ from plumbline.plans import packages as PK
 from plumbline.plans import scope as SC
 from plumbline.plans import trades as TR
 from plumbline.plans import vocab as V
+from plumbline.session import ensure_checkpoint_dir
 
 KNOWN = "(coalesce({0}, '') <> '' AND NOT regexp_matches(lower({0}), '^unknown\\b'))"
 CUES = f"""
@@ -294,6 +295,9 @@ SELECT doc, CAST(floor((lex * 0.62::DOUBLE + meta * 0.28::DOUBLE + ph * 0.1::DOU
 FROM sc WHERE NOT (lex * 0.62 + meta * 0.28 + ph * 0.1 < 0.04 AND lex < 0.02) ORDER BY 2 DESC, 1 LIMIT 20""")
 def _(t):
     corpus = PK.contractor_search(search_rows(t), "roofing", ["project_name", "project_location", "trade"], "seq").withColumn("body", F.concat_ws(" ", "project_description", "trade", "city", "county"))
+    # the index reads its corpus several times, so the ranked rows are written once
+    ensure_checkpoint_dir(t.spark)
+    corpus = corpus.select("seq", "project_name", "body", "city", "county", "trade").checkpoint()
     return S.semantic_search(corpus, "seq", "project_name", "body", "roofing sacramento", 20, {"city": "city", "county": "county", "trade": "trade"}, "Roofing").select("doc", "score", "lexical_score", "metadata_score")
 
 

@@ -58,3 +58,15 @@ def test_merged_elements_read_their_writes_once(spark):
     assert {(r["id"], r["label"], tuple(sorted(r["props"].items()))) for r in merged.collect()} == {("a", "two", (("k", None), ("l", "1"))), ("b", None, ())}
     edges = P._merged(rows.drop("label"), ["id", "type"])
     assert {(r["id"], len(r["props"])) for r in edges.collect()} == {("a", 2), ("b", 0)}
+
+
+def test_combined_search_ranks_its_corpus_once(spark, sf):
+    from plumbline.operators import search as S
+
+    seen, search = [], S.semantic_search
+    try:
+        S.semantic_search = lambda docs, *a: seen.append(docs) or search(docs, *a)
+        QUERIES["sr11_combined_search"](spark, sf)
+    finally:
+        S.semantic_search = search
+    assert "ExistingRDD" in seen[0]._jdf.queryExecution().executedPlan().toString() and "FileScan" not in seen[0]._jdf.queryExecution().executedPlan().toString()
