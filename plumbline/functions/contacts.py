@@ -33,7 +33,7 @@ def format_phone(c: ColumnOrName) -> Column:
 # FL-07
 def is_placeholder(*values: ColumnOrName) -> Column:
     blob = F.lower(F.concat_ws(" ", *[F.nullif(col(v), F.lit("")) for v in values]))
-    return any_of(blob.rlike(p) for p in PLACEHOLDER_PATTERNS)
+    return blob.rlike("|".join(f"(?:{p})" for p in PLACEHOLDER_PATTERNS))
 
 
 def is_source_backed(c: ColumnOrName) -> Column:

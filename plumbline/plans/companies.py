@@ -13,7 +13,7 @@ from plumbline.functions import text as X
 from plumbline.functions.rules import ColumnOrName, case, col
 from plumbline.operators.aggregate import value_counts
 from plumbline.operators.keyed import best_per_key, top_n_per_group
-from plumbline.operators.relational import co_members
+from plumbline.operators.relational import co_members, filter_once
 from plumbline.plans import vocab as V
 
 
@@ -82,10 +82,13 @@ def relationships(facts: DataFrame) -> DataFrame:
 # AG-09
 def discover_companies(mentions: DataFrame, records_kept: int = 25) -> DataFrame:
     """mentions(name, role, source_name, source_url, project_name, seq) -> one row per normalised name."""
-    m = mentions.filter(C.is_source_backed("name")).withColumn("normalized_name", X.normalize_name_v2("name"))
-    base = m.groupBy("normalized_name").agg(
-        F.min_by("name", "seq").alias("company_name"), F.array_sort(F.collect_set("role")).alias("roles"), F.count(F.lit(1)).alias("project_count"))
-    kept = top_n_per_group(m, ["normalized_name"], ["seq"], records_kept, rank="_pos").groupBy("normalized_name").agg(
+    named = lambda df: filter_once(df, C.is_source_backed("name")).withColumn("normalized_name", X.normalize_name_v2("name"))
+    # by written name first: a name is judged and normalised once, not for each mention
+    written = mentions.groupBy("name").agg(F.min("seq").alias("seq"), F.collect_set("role").alias("roles"), F.count(F.lit(1)).alias("n"))
+    base = named(written).groupBy("normalized_name").agg(
+        F.min_by("name", "seq").alias("company_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("roles")))).alias("roles"), F.sum("n").alias("project_count"))
+    first = named(top_n_per_group(mentions, ["name"], ["seq"], records_kept))
+    kept = top_n_per_group(first, ["normalized_name"], ["seq"], records_kept, rank="_pos").groupBy("normalized_name").agg(
         F.array_sort(F.collect_list(F.struct("_pos", "source_name", "source_url", "project_name", "role"))).alias("source_records"))
     return base.join(kept, "normalized_name")
 

@@ -8,6 +8,8 @@ from test_units import levenshtein
 
 from plumbline.operators import graph as G
 from plumbline.operators import resolve as R
+from plumbline.plans import companies as CO
+from plumbline.sources import normalize as N
 
 
 def names(spark, values):
@@ -69,3 +71,40 @@ def test_graph_is_built_once_for_an_export(spark, tmp_path):
     G.write_graph(nodes, edges, str(tmp_path))
     assert seen.value == 3
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/insights").select("id", "n").collect()] == [("Company:a", 3)]
+
+
+def test_project_detail_names_a_company_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    projects = spark.createDataFrame([("p", "n")], "id string, name string")
+    permits = spark.createDataFrame([("p", "2001-01-01", "1")], "project_id string, permit_date string, permit_number string")
+    signals = spark.createDataFrame([("p", "s", "k", 1)], "project_id string, id string, signal_type string, importance_score int")
+    names = ["Acme", "TBD", "", None, "Delta", "Contact 12", "none such", "x@example.org"]
+    companies = spark.createDataFrame([("p", n, "r") for n in names], "project_id string, name string, role string").withColumn("name", counted("name"))
+    got = N.project_detail(projects, permits, signals, companies).select("companies.name", "companies_count").collect()
+    assert [tuple(r) for r in got] == [(["Acme", "Delta"], 2)]
+    assert seen.value == len(names)
+
+
+def test_company_discovery_reads_a_name_twice_at_most(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rows = [("Acme Inc", "b", 3), ("ACME", "a", 2), ("Unknown", "a", 1), ("Acme Inc", "a", 5), (None, "a", 6)] + [("Delta LLC", None, 10 + i) for i in range(30)]
+    m = spark.createDataFrame(rows, "name string, role string, seq int").withColumn("name", counted("name"))
+    m = m.select("*", F.lit("s").alias("source_name"), F.lit("u").alias("source_url"), F.col("seq").cast("string").alias("project_name"))
+    got = {r.normalized_name: r for r in CO.discover_companies(m).collect()}
+    assert set(got) == {"acme", "delta"}
+    assert (got["acme"].company_name, got["acme"].roles, got["acme"].project_count) == ("ACME", ["a", "b"], 3)
+    assert [r.project_name for r in got["acme"].source_records] == ["2", "3", "5"]
+    assert [r.project_name for r in got["delta"].source_records] == [str(10 + i) for i in range(25)] and got["delta"].project_count == 30
+    assert seen.value <= 2 * len(rows)
