@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import contacts as C
 from plumbline.functions import text as X
 from plumbline.operators.keyed import first_per_key
-from plumbline.operators.relational import PAGE, attach_pages, child_pages
+from plumbline.operators.relational import PAGE, attach_pages, child_pages, filter_once
 from plumbline.plans import permits as P
 from plumbline.plans import vocab as V
 
@@ -188,11 +188,11 @@ def project_detail(projects: DataFrame, permits: DataFrame, signals: DataFrame,
     children; placeholder companies are left out."""
     on = ["project_id"]
     p = projects.withColumnRenamed("id", "project_id")
-    real = companies.filter(C.is_source_backed("name"))
+    real = filter_once(companies, C.is_source_backed("name"))
     lists = [
         ("permits", child_pages(permits, on, [F.desc("permit_date"), "permit_number"], ["permit_number", "permit_date"], "permits", page)),
         ("signals", child_pages(signals, on, [F.desc("importance_score"), "id"], ["signal_type", "importance_score"], "signals", page)),
-        ("companies", child_pages(real, on, ["name", "role"], ["name", "role"], "companies", page)),
+        ("companies", child_pages(real, on, ["name", "role"], ["name", "role"], "companies", page, companies)),
     ]
     return attach_pages(p, lists, on)
 
