@@ -196,6 +196,7 @@ def _(t):
 
 def search_rows(t):
     """Wide rows with every input of the contractor search, scored from the derived opportunities."""
+    t.orders = R.dealt(t.orders, "o_orderkey")
     o = TR.contractor_opportunities(faceted(t).withColumn("blob", X.text_blob(*BLOB_COLS)), "blob")
     o = pursued(o.withColumn("fence_confidence", F.col("conf")).withColumn("positives", F.col("pos")).withColumn("fence_signal", F.col("fence_probability")).withColumn("package_scale", F.col("scale")))
     o = o.withColumn("bidable", F.col("seq") % 2 == 0).withColumn("subcontractor_score", F.col("subcontractor.score")).withColumn("evidence_text", F.col("text"))
