@@ -81,3 +81,22 @@ def test_counts_of_odd_rows(spark):
     alone = SE.token_counts(docs.filter("id > 1 OR id IS NULL"), "id", "text")
     assert [tuple(r) for r in alone.collect()] == [(None, 2, "cc", 2)]
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def joined_columns(df):
+    """Columns of the left side of the first left outer join below."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop(0)
+        if node.nodeName() == "Join" and node.joinType().toString() == "LeftOuter":
+            return node.children().apply(0).output().mkString(" ")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
+def test_stored_search_moves_a_text_only_for_its_snippet(spark):
+    docs, _ = corpus(spark, 60)
+    index = SearchIndex(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    index.add(docs, "id", "title", "text")
+    hits = index.search("w10 w20", 5)
+    assert "text#" in joined_columns(hits) and hits.first()["snippet"]
+    assert "text#" not in joined_columns(hits.select("doc", "score", "lexical_score", "metadata_score"))
