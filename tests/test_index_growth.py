@@ -100,3 +100,11 @@ def test_stored_search_moves_a_text_only_for_its_snippet(spark):
     hits = index.search("w10 w20", 5)
     assert "text#" in joined_columns(hits) and hits.first()["snippet"]
     assert "text#" not in joined_columns(hits.select("doc", "score", "lexical_score", "metadata_score"))
+
+
+def test_search_shuffles_no_postings_of_frequent_tokens(spark):
+    docs, rows = corpus(spark)
+    hits = []
+    written = shuffled_records(spark, lambda: hits.extend(SE.semantic_search(docs, "id", "title", "text", "w10 w20", 5).select("doc", "score").collect()))
+    assert len(hits) == 5 and written < 0.5 * postings_of(rows)
+    assert "text#" not in joined_columns(SE.semantic_search(docs, "id", "title", "text", "w10 w20", 5).select("doc", "score"))
