@@ -615,6 +615,26 @@ EVIDENCE_SIGNALS = [
     ("negative", "HVAC-only replacement evidence", r"hvac|mechanical|package unit|air conditioning", ""),
     ("negative", "Interior or tenant-improvement-only evidence", r"interior remodel|kitchen|bathroom|flooring|painting|tenant improvement", ""),
 ]
+# where a signal can start: (lower-case text that each of its matches holds one of, characters of the match before that text at most)
+EVIDENCE_CUES = {
+    "Fence installation reference": [("fenc", 49)],
+    "Fence package reference": [("fenc", 12)],
+    "Chain-link fencing reference": [("chain", 0)],
+    "Ornamental or wrought-iron reference": [("ornamental iron", 0), ("wrought iron", 0)],
+    "Gate installation reference": [("gate", 78), ("ada ped", 0), ("new", 0)],
+    "Detention basin fencing reference": [("detention basin", 87)],
+    "Public facility fencing reference": [("park fencing", 0), ("trail fencing", 0), ("school fencing", 0), ("sports field fencing", 0)],
+    "Incidental gate mention": [("gate", 0)],
+    "Incidental fence mention": [("fenc", 0)],
+    "Enclosure or screen-wall mention": [("enclosure", 0), ("screen wall", 0)],
+    "Primary electrical / landscape lighting work": [("electrical for landscaping", 0), ("commercial electrical service", 0), ("landscape lighting", 0), ("electrical service pedestal", 0), ("service pedestal", 0)],
+    "Creek, drainage, or water-quality work without fence reference": [("creek", 0), ("water quality", 0), ("drainage", 0), ("stormwater", 0), ("hydrology", 0)],
+    "Pipeline or utility work without fence reference": [("pipeline", 0), ("utility relocation", 0), ("water main", 0), ("sewer", 0), ("trunk", 0)],
+    "Electrical or solar retrofit evidence": [("electrical upgrade", 0), ("solar", 0), ("photovoltaic", 0), ("pv", 0), ("energy storage", 0), ("electrical service", 0)],
+    "Roof replacement evidence": [("roof", 0), ("tpo", 0), ("membrane", 0), ("capsheet", 0)],
+    "HVAC-only replacement evidence": [("hvac", 0), ("mechanical", 0), ("package unit", 0), ("air conditioning", 0)],
+    "Interior or tenant-improvement-only evidence": [("interior remodel", 0), ("kitchen", 0), ("bathroom", 0), ("flooring", 0), ("painting", 0), ("tenant improvement", 0)],
+}
 FENCE_INTENT = r"\b(install|raise|new fence|build|building|construct|provide|supply|pool safety|security fence|fence height|fencing with|gates/fence|permit for fence|fence built|chain[-\s]?link)\b"
 FENCE_INCIDENTAL = r"\b(behind|in front of)\b[^.]*\bfence\b|\bfrom (?:the )?fence/property line\b|\bfor fence or structure\b|\bfence note revised\b|\btowards back fence\b|\bthere is a fence\b|\bremove the fence\b|\bif needed only\b"
 FENCE_OTHER_WORK = r"\bhvac\b|\bsewer\b|\bsolar\b|\bcarport\b|\belec\b|\belectrical\b|\bsmud\b|\baddition and remodel\b|\bpipe burst\b|\binversion liner\b"
