@@ -55,3 +55,62 @@ def test_every_signal_has_cues():
         plain = [w for w, reach in V.EVIDENCE_CUES[label] if reach == 0]
         if re.fullmatch(r"[a-z |-]+", pattern):  # a list of words: each of them starts with a cue
             assert all(any(w.startswith(c) or c in w for c in plain) for w in pattern.split("|"))
+
+
+def graph_tables(spark, contacts):
+    t = lambda rows, c: spark.createDataFrame(rows, c)
+    text = lambda names: ", ".join(f"{n} string" for n in names.split())
+    projects = t([("A 1", 1, "one", "open", "x", "Folsom", "", "1 Elm", None, "2"), ("a-1", 2, "two", None, "x", "folsom", None, "1 ELM", "7", None), (None, 3, "lost", "s", "t", "Rocklin", None, "", None, None)],
+                 "id string, seq long, " + text("name status project_type city county address latitude longitude"))
+    companies = t([("A 1", 5, "Acme, Inc", "developer", "D", "b", "CA", None, "1", None), ("A 1", 5, "ACME inc.", "developer", "D", "a", "CA", "w", None, None), ("gone", 9, "Acme Inc", "developer", "Z", "z", "z", "z", "z", "z")],
+                  "project_id string, seq long, " + text("name role company_type city state website phone email"))
+    permits = t([("A 1", 1, "p", "n", "t", None, "d", "v")], "project_id string, seq long, " + text("id permit_number permit_type permit_status permit_date permit_value"))
+    documents = t([("a-1", 1, "d", "title", "en", None, None)], "project_id string, seq long, " + text("id title document_type source_url created_at"))
+    signals = t([("a-1", 1, "d", "kind", "day", "", "3", "PN 1", None)], "project_id string, seq long, " + text("id signal_type signal_date source importance_score parcel_number jurisdiction"))
+    trades = t([("A 1", i, v) for i, v in enumerate(["Roofing", "roofing", "", None])], "project_id string, seq long, trade string")
+    return projects, companies, contacts, permits, documents, signals, trades
+
+
+def contact_rows(spark, rows):
+    return spark.createDataFrame(rows, "project_id string, seq long, name string, role string, company string, confidence string, source string, website string, phone string, email string")
+
+
+def test_graph_of_projects_that_share_a_node(spark):
+    from plumbline.operators import properties as P
+
+    contacts = contact_rows(spark, [("A 1", 1, "Jo", "r1", "ACME INC", "0.5", "s", None, "2", "e"), ("a-1", 1, "jo", None, "acme inc", None, None, "v", None, None), ("a-1", 2, "", "r3", "Delta", "0.1", "s", "w", "3", "f")])
+    nodes, edges = P.property_graph_full(*graph_tables(spark, contacts))
+    n = {(r["id"], r["type"]): (r["label"], r["props"]) for r in nodes.collect()}
+    assert n[("Project:a-1", "Project")] == ("two", {"status": None, "project_type": "x", "city": "folsom", "county": None})
+    assert n[("Property:1-elm", "Property")] == ("1 ELM", {"address": "1 ELM", "latitude": "7", "longitude": None})
+    assert n[("Developer:acme-inc", "Developer")] == ("Acme, Inc.", {"company_type": "D", "city": "b", "state": "CA", "website": "w", "phone": "1", "email": None})  # two writes at one place
+    assert n[("Company:acme-inc", "Company")] == ("Acme Inc.", {"website": "v", "phone": None, "email": None})
+    assert n[("Contact:jo", "Contact")] == ("jo", {"role": None, "confidence": None, "source": None})
+    assert n[("Document:d", "Document")] == ("kind", {"document_type": "en", "source_url": None, "created_at": None, "signal_type": "kind", "signal_date": "day", "source": "", "importance_score": "3"})
+    assert n[("City:folsom", "City")] == ("folsom", {}) and n[(None, "Project")][0] == "lost"
+    assert len(n) == 13
+    rows = [(r["src"], r["type"], r["dst"], r["props"]) for r in edges.collect()]
+    e = {r[:3]: r[3] for r in rows}
+    assert len(e) == len(rows) == 13
+    assert e[("Company:acme-inc", "INVOLVED_IN", "Project:a-1")] == {"role": None, "contact_confidence": None}
+    assert e[("Developer:acme-inc", "INVOLVED_IN", "Project:a-1")] == {"role": "developer"} and e[("Developer:acme-inc", "OWNS", "Project:a-1")] == {}
+    assert e[("Contact:jo", "WORKS_FOR", "Company:acme-inc")] == e[("Company:acme-inc", "EMPLOYS", "Contact:jo")] == {"confidence": None}
+    assert e[("Project:a-1", "REFERENCES", "Document:d")] == {"signal_type": "kind"} and (None, "LOCATED_IN", "City:rocklin") in e
+
+
+def test_graph_reads_a_table_once_for_all_it_writes(spark):
+    from plumbline.operators import properties as P
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rows = [("A 1", i, "Jo", "r", f"Firm {i}", "1", "s", "w", "p", "e") for i in range(9)]
+    nodes, edges = P.property_graph_full(*graph_tables(spark, contact_rows(spark, rows).withColumn("company", counted("company"))))
+    assert nodes.filter("type = 'Company'").count() == 9 and seen.value == 9  # before: once for companies, once for people
+    seen.value = 0
+    edges.collect()
+    assert seen.value <= 2 * len(rows)  # people are merged apart
