@@ -114,3 +114,16 @@ def test_graph_reads_a_table_once_for_all_it_writes(spark):
     seen.value = 0
     edges.collect()
     assert seen.value <= 2 * len(rows)  # people are merged apart
+
+
+def test_deleted_strings_of_a_name_are_few_and_numbers(spark, monkeypatch):
+    from plumbline.operators import resolve as R
+
+    seen, deleted = [], R._deleted
+    monkeypatch.setattr(R, "_deleted", lambda *a: seen.append(deleted(*a)) or seen[-1])
+    known = spark.createDataFrame([("summit engineering abcd",)], "norm string")  # 23 characters, a budget of two
+    probes = spark.createDataFrame([("summit engineering abcdefg"[: 23 + n],) for n in range(4)], "norm string")
+    got = {(r["probe"], r["distance"]) for r in R.near_pairs(probes, known).collect()}
+    assert got == {("summit engineering abcdefg"[: 23 + n], n) for n in range(4)}  # 26 characters: three
+    assert all(t == "bigint" for d in seen for _, t in d.dtypes)
+    assert min(d.count() for d in seen) == 1 + 23 + 23 * 22 // 2
